@@ -37,30 +37,8 @@ def repeated_keys(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return count_rows(df, *keys, name=name).filter(F.col(name) > 1)
 
 
-def describe_long(df: DataFrame, cols: list[str], stats: dict[str, Column] | None = None) -> DataFrame:
-    """One row per column with mean, median, min and max.
-
-    All columns are described in a single aggregate; only its one row is then unpivoted.
-    """
-    def med(c):
-        return F.median(c)
-
-    aggs = []
-    for c in cols:
-        aggs.append(
-            F.struct(
-                F.lit(c).alias("variable"),
-                F.avg(c).alias("mean"),
-                med(c).alias("median"),
-                F.min(c).cast("double").alias("min"),
-                F.max(c).cast("double").alias("max"),
-            )
-        )
-    return df.agg(F.array(*aggs).alias("__d")).select(F.inline("__d"))
-
-
-def describe_at_scale(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Same result as :func:`describe_long` for columns whose distinct values do not fit one task."""
+def describe(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row per column with mean, median, min and max; missing values are skipped."""
     from .ordered import median_by
 
     pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])

@@ -15,7 +15,7 @@ from ..functions.text import pad_left, remove_all, replace_first
 from .aggregate import repeated_keys, with_group_stats
 from .inference import welch_stats_sparse, with_t_p
 from .joins import keep_in, keep_not_in
-from .ordered import rest_after_top, top_with_ties
+from .ordered import top_and_rest, top_with_ties
 from .reshape import split_column, to_long, to_wide
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -237,8 +237,8 @@ def top_motifs(long: DataFrame, samples: DataFrame, k: int = 10, feature: str =
 
 def top_vs_rest(means: DataFrame, k: int = 10, value: str = "mean") -> DataFrame:
     """Sum of the top k (ties kept), sum and maximum of the rest, as one row."""
-    top = top_with_ties(means, value, k).agg(F.sum(value).alias("v")).scalar()
-    rest = rest_after_top(means, value, k)
+    best, rest = top_and_rest(means, value, k)
+    top = best.agg(F.sum(value).alias("v")).scalar()
     return rest.agg(F.sum(value).alias("rest_sum"), F.max(value).alias("rest_max")).withColumn("top_sum", top)
 
 

@@ -66,22 +66,29 @@ def anchor_minimum(values: DataFrame, anchor: str) -> Column:
     return values.filter(F.col("symbol") == anchor).agg(F.min("tpm").alias("m")).scalar()
 
 
-def high_in_any_sample(values: DataFrame, condition: str, cutoff: Column | float) -> DataFrame:
-    """Symbols above the cutoff in at least one sample of the condition, with their group mean."""
+def group_means(values: DataFrame, condition: str) -> DataFrame:
+    """(symbol, mean_tpm, mean_log10, max_tpm) over the samples of one condition.
+
+    An absent cell is a zero: it enters the mean, and makes the mean of logs minus infinity.
+    """
     group = values.filter(F.col("condition") == condition)
-    stats = group.groupBy("symbol").agg(F.max("tpm").alias("__max"), F.avg("tpm").alias("mean_tpm"))
+    n = group.agg(F.count_distinct("sample").alias("n")).scalar()
+    logs = F.when(F.count(F.lit(1)) < n, F.lit(float("-inf"))).otherwise(F.sum(log10_inf(F.col("tpm"))) / n)
+    return group.groupBy("symbol").agg(
+        (F.sum("tpm") / n).alias("mean_tpm"), logs.alias("mean_log10"), F.max("tpm").alias("max_tpm")
+    )
+
+
+def high_in_any_sample(values: DataFrame, condition: str, cutoff: Column | float) -> DataFrame:
+    """Symbols at or above the cutoff in at least one sample of the condition, with their group mean."""
     limit = cutoff if isinstance(cutoff, Column) else F.lit(cutoff)
-    return stats.filter(F.col("__max") >= limit).select("symbol", "mean_tpm")
+    return group_means(values, condition).filter(F.col("max_tpm") >= limit).select("symbol", "mean_tpm")
 
 
 def high_on_average(values: DataFrame, condition: str, cutoff: Column | float) -> DataFrame:
+    """Symbols whose group mean is at or above the cutoff."""
     limit = cutoff if isinstance(cutoff, Column) else F.lit(cutoff)
-    return (
-        values.filter(F.col("condition") == condition)
-        .groupBy("symbol")
-        .agg(F.avg("tpm").alias("mean_tpm"), F.avg(log10_inf(F.col("tpm"))).alias("mean_log10"))
-        .filter(F.col("mean_tpm") >= limit)
-    )
+    return group_means(values, condition).filter(F.col("mean_tpm") >= limit).select("symbol", "mean_tpm", "mean_log10")
 
 
 def evidence_matrix(base: DataFrame, lists: dict[str, DataFrame], means: DataFrame) -> DataFrame:
@@ -100,5 +107,4 @@ def top_label(df: DataFrame, col: str, named: list[str], out: str = "label") ->
 
 def top_mean_features(values: DataFrame, condition: str, k: int) -> DataFrame:
     """Highest mean per-million features of one condition, ties kept."""
-    means = values.filter(F.col("condition") == condition).groupBy("symbol").agg(F.avg("tpm").alias("mean_tpm"))
-    return top_with_ties(means, "mean_tpm", k)
+    return top_with_ties(group_means(values, condition).select("symbol", "mean_tpm"), "mean_tpm", k)

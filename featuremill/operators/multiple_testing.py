@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .aggregate import with_group_stats
 from .ordered import following_min, ntile, quantiles_by, running_sum, store_by_range
 
@@ -19,9 +20,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def bh_adjust(df: DataFrame, p: str = "p", out: str = "padj", keys: list[str] | None = None) -> DataFrame:
     """Step-up adjusted p: running minimum, from the largest p, of p * n / rank (ties: highest rank).
 
-    Works on distinct p-values with their counts; a missing p stays missing and is not counted.
+    Works on distinct p-values with their counts; a missing p stays missing and is not counted. The
+    rows are stored first, so that the join back meets bit-identical p-values.
     """
     keys = keys or []
+    df = cut_lineage(df)
     known = df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n"))
     stored = store_by_range(known, keys, [p])
     ranked = running_sum(stored, keys, [p], {"__rank": "__n"}, stored=True)
@@ -49,11 +52,13 @@ def filter_grid(df: DataFrame, alpha: float = 0.05, steps: int = 50) -> DataFram
     """Rejections at ``alpha`` for each mean cutoff; df(feature, base_mean, p) gives (theta, cutoff, rejections).
 
     Only tests with p <= alpha can be rejected, so only those are repeated over the (at most
-    ``steps``) cutoffs they pass; the number of tests per cutoff comes from a histogram.
+    ``steps``) cutoffs they pass; the number of tests per cutoff comes from a histogram. The cutoffs themselves
+    (``steps`` numbers) pass through the driver.
     """
+    df = cut_lineage(df.select("base_mean", "p"))
     thetas = [round(i * 0.95 / (steps - 1), 6) for i in range(steps)]
-    cuts = quantiles_by(df, [], "base_mean", {f"q{i}": t for i, t in enumerate(thetas)})
-    grid = cuts.select(F.array(*[f"q{i}" for i in range(steps)]).alias("cuts")).scalar()
+    cuts = quantiles_by(df, [], "base_mean", {f"q{i}": t for i, t in enumerate(thetas)}).first()
+    grid = F.array(*[F.lit(cuts[f"q{i}"]) for i in range(steps)])
     passed = F.size(F.filter(F.col("cuts"), lambda c: c <= F.col("base_mean")))
     tests = df.filter(F.col("p").isNotNull()).withColumn("cuts", grid).select("p", passed.alias("passed"))
     sizes = (
@@ -87,9 +92,10 @@ def independent_filter(df: DataFrame, alpha: float = 0.05, steps: int = 50) -> D
 
     Dropped features keep their p and get a missing adjusted p.
     """
+    df = cut_lineage(df)
     grid = filter_grid(df, alpha, steps)
-    best = grid.agg(F.max_by("cutoff", F.struct("rejections", -F.col("theta"))).alias("cutoff")).scalar()
-    tested = df.withColumn("__p", F.when(F.col("base_mean") >= best, F.col("p")))
+    best = grid.agg(F.max_by("cutoff", F.struct("rejections", -F.col("theta"))).alias("cutoff")).first()["cutoff"]
+    tested = df.withColumn("__p", F.when(F.col("base_mean") >= F.lit(best), F.col("p")))
     return bh_adjust(tested, "__p", "padj").drop("__p")
 
 

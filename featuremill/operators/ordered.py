@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_width
+from ..session import cut_lineage
 from .joins import null_safe_join
 
 _RANGE = "__range"
@@ -22,15 +22,16 @@ def _directed(order: list[str], descending: bool) -> list[Column]:
     return [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c in order]
 
 
-def store_by_range(df: DataFrame, keys: list[str], order: list[str], descending: bool = False) -> DataFrame:
+def store_by_range(df: DataFrame, keys: list[str], order: list[str], descending: list[str] | None = None) -> DataFrame:
     """Range-partition, tag each row with its range number, and store.
 
     The stored copy is what makes the tag trustworthy: range bounds are sampled, so a recomputed
-    shuffle could place a row elsewhere.
+    shuffle could place a row elsewhere. The number of ranges is left to adaptive execution, which
+    merges neighbouring small ranges and so keeps their order.
     """
-    width = shuffle_width(df.sparkSession)
-    spread = df.repartitionByRange(width, *[F.col(k).asc_nulls_last() for k in keys], *_directed(order, descending))
-    return cut_lineage(spread.withColumn(_RANGE, F.spark_partition_id()))
+    down = set(descending or [])
+    cols = [F.col(c).desc_nulls_last() if c in down else F.col(c).asc_nulls_last() for c in [*keys, *order]]
+    return cut_lineage(df.repartitionByRange(*cols).withColumn(_RANGE, F.spark_partition_id()))
 
 
 def _carry(stored: DataFrame, keys: list[str], aggs: dict[str, Column], fold: Callable, backwards: bool) -> DataFrame:
@@ -80,12 +81,7 @@ def row_rank(
     keys = keys or []
     down = set(descending or [])
     cols = [F.col(c).desc_nulls_last() if c in down else F.col(c).asc_nulls_last() for c in order]
-    width = shuffle_width(df.sparkSession)
-    base = cut_lineage(
-        df.repartitionByRange(width, *[F.col(k).asc_nulls_last() for k in keys], *cols).withColumn(
-            _RANGE, F.spark_partition_id()
-        )
-    )
+    base = store_by_range(df, keys, order, descending)
     carry = _carry(base, keys, {"__before": F.count(F.lit(1))}, F.sum, backwards=False)
     w = Window.partitionBy(_RANGE, *keys).orderBy(*cols)
     return (
@@ -142,24 +138,26 @@ def mad_by(df: DataFrame, keys: list[str], value: str, out: str = "mad", scale:
     return median_by(dev, keys, "__dev", out).withColumn(out, F.col(out) * scale)
 
 
-def top_with_ties(df: DataFrame, value: str, k: int, largest: bool = True) -> DataFrame:
-    """Rows whose value is among the k best, all ties kept: per-task top-k, then one threshold filter."""
-    return df.filter(F.col(value) >= _threshold(df, value, k, largest)) if largest else df.filter(
-        F.col(value) <= _threshold(df, value, k, largest)
-    )
+def top_and_rest(df: DataFrame, value: str, k: int, largest: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows whose value is among the k best (all ties kept), and all other rows, missing values included.
 
+    Each task keeps its k best values, the merged k-th value becomes a filter. The rows are stored
+    first: a value recomputed in another summation order could miss its own threshold.
+    """
+    stored = cut_lineage(df)
+    order = F.col(value).desc() if largest else F.col(value).asc()
+    best = stored.filter(F.col(value).isNotNull()).select(value).orderBy(order).limit(k)
+    limit = best.agg((F.min if largest else F.max)(value).alias("t")).scalar()
+    hit = F.col(value) >= limit if largest else F.col(value) <= limit
+    return stored.filter(hit), stored.filter(~F.coalesce(hit, F.lit(False)))
 
-def rest_after_top(df: DataFrame, value: str, k: int, largest: bool = True) -> DataFrame:
-    """Complement of :func:`top_with_ties`, missing values included."""
-    t = _threshold(df, value, k, largest)
-    hit = F.col(value) >= t if largest else F.col(value) <= t
-    return df.filter(~F.coalesce(hit, F.lit(False)))
 
+def top_with_ties(df: DataFrame, value: str, k: int, largest: bool = True) -> DataFrame:
+    return top_and_rest(df, value, k, largest)[0]
 
-def _threshold(df: DataFrame, value: str, k: int, largest: bool) -> Column:
-    order = F.col(value).desc() if largest else F.col(value).asc()
-    best = df.filter(F.col(value).isNotNull()).select(value).orderBy(order).limit(k)
-    return best.agg((F.min if largest else F.max)(value).alias("t")).scalar()
+
+def rest_after_top(df: DataFrame, value: str, k: int, largest: bool = True) -> DataFrame:
+    return top_and_rest(df, value, k, largest)[1]
 
 
 def top_per_key(df: DataFrame, keys: list[str], value: str, k: int, largest: bool = True) -> DataFrame:

@@ -82,7 +82,7 @@ def _components(k: int):
 
 def eigen(matrix: DataFrame, k: int) -> DataFrame:
     """Leading eigenvectors of a bounded (at most 4096 x 4096) symmetric matrix in (i, j, value) form."""
-    return matrix.groupBy(F.lit(0)).applyInPandas(
+    return matrix.groupBy().applyInPandas(
         _components(k), "component int, i int, vector double, eigenvalue double, total double"
     )
 
@@ -111,7 +111,7 @@ def pca_points(points: DataFrame, id_col: str, column: str, k: int = 5) -> DataF
         .select(F.col("s.m").alias("m"))
         .scalar()
     )
-    centred = points.select(id_col, F.zip_with(column, means, lambda x, m: x - m).alias("x"))
+    centred = points.withColumn("__m", means).select(id_col, F.zip_with(column, "__m", lambda x, m: x - m).alias("x"))
     loads = (
         eigen(product_matrix(centred, "x"), k)
         .groupBy("component")

@@ -19,8 +19,8 @@ def feature_vectors(long: DataFrame, samples: DataFrame, value: str, out: str =
     cells = long.groupBy("feature").agg(
         F.map_from_entries(F.collect_list(F.struct("sample", F.col(value).cast("double")))).alias("__m")
     )
-    filled = F.transform(sample_order(samples), lambda s: F.coalesce(F.try_element_at(F.col("__m"), s), F.lit(0.0)))
-    return cells.select("feature", filled.alias(out))
+    filled = F.transform("__o", lambda s: F.coalesce(F.try_element_at(F.col("__m"), s), F.lit(0.0)))
+    return cells.withColumn("__o", sample_order(samples)).select("feature", filled.alias(out))
 
 
 def with_design(vectors: DataFrame, samples: DataFrame, columns: list[str]) -> DataFrame:

@@ -41,7 +41,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages re-read the stored rows and survive executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
