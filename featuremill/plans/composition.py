@@ -76,7 +76,7 @@ def parse_encoded(spark, sf):
     return out.filter(F.col("events").isNotNull())
 
 
-@query("clean_measurements", """SELECT lpad(event_id::VARCHAR, greatest(3, length(event_id::VARCHAR)), '0') AS event_id, event_type,
+@query("clean_measurements", """SELECT lpad(event_id::VARCHAR, greatest(3, length(event_id::VARCHAR))::INTEGER, '0') AS event_id, event_type,
   CASE WHEN event_type = 'error' THEN 0.0 ELSE value END AS value, CASE WHEN event_type = 'view' THEN 'starred' END AS comment FROM events""")
 def clean_measurements(spark, sf):
     text = F.col("value").cast("string")

@@ -1,12 +1,14 @@
-"""Session construction and the one place that decides where checkpoints go."""
+"""Session construction, and the one place that stores intermediate results."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folder: tempfile.TemporaryDirectory | None = None
+
 
 def local_session(cores: int | str = "*", app: str = "featuremill", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and benchmarks; on a cluster the job brings its own session."""
@@ -19,25 +21,33 @@ def local_session(cores: int | str = "*", app: str = "featuremill", shuffle_part
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; a temp folder only in local mode."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="featuremill-ckpt-", dir=os.environ.get("TMPDIR"))
-    sc.setCheckpointDir(shared)
+def stage_folder(spark: SparkSession) -> str:
+    """Folder for stored intermediates: below the shared folder named in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder, removed when Python exits.
+    """
+    global _local_folder
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return f"{shared.rstrip('/')}/featuremill-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if _local_folder is None:
+        _local_folder = tempfile.TemporaryDirectory(prefix="featuremill-", ignore_cleanup_errors=True)
+    return _local_folder.name
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages re-read the stored rows and survive executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store the rows as a table in the shared folder and read them back.
+
+    A written table survives the loss of executors, is evaluated exactly once, tells the planner its
+    size (so that small sides are broadcast and large ones are not), and drops the grown plan with
+    its inferred constraints, which a long loop would otherwise drag along.
+    """
+    path = f"{stage_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
