@@ -123,7 +123,8 @@ def _learn(pdf: pd.DataFrame, alpha: float) -> pd.DataFrame:
     """Weights per bin for one fold, from a bounded histogram of the other folds' p-values.
 
     Rejection thresholds share one slope of the concave distributions; the slope is searched so
-    that the expected false share stays at alpha.
+    that the expected false share stays at alpha. Slopes under one are out of the search: p-values
+    are no denser there than under no effect.
     """
     edges = np.concatenate([[0.0], 10.0 ** np.linspace(-8, 0, _CELLS)])
     bins = sorted(pdf["tile"].unique())
@@ -145,7 +146,7 @@ def _learn(pdf: pd.DataFrame, alpha: float) -> pd.DataFrame:
             t[i], f[i] = x[j], y[j]
         return t, f
 
-    low, high = -2.0, 10.0
+    low, high = 0.0, 10.0
     for _ in range(60):
         mid = (low + high) / 2
         t, f = at(10.0**mid)
