@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import equal_to_digits, to_double
 from ..functions.text import pad_left, remove_all, replace_first
+from ..session import cut_lineage
 from .aggregate import repeated_keys, with_group_stats
 from .inference import welch_stats_sparse, with_t_p
 from .joins import keep_in, keep_not_in
@@ -205,7 +206,8 @@ def motif_abundance(motifs: DataFrame, abundance: DataFrame, key: str = "structu
 
 
 def rarity_filter(long: DataFrame, samples: DataFrame, feature: str, value: str, min_share: float = 0.05) -> DataFrame:
-    """Features present in at least the given share of all samples."""
+    """Features present in at least the given share of all samples. The table is read twice, so it is stored."""
+    long = cut_lineage(long)
     n = samples.select("sample").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     present = long.groupBy(feature).agg(F.count_if(F.col(value) > 0).alias("__p"))
     keep = present.filter(F.col("__p") >= n * min_share)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .aggregate import repeated_keys, with_group_stats
 from .joins import first_per_key
 from .ordered import median_by
@@ -64,8 +65,10 @@ def detected_flag(counts: DataFrame, features: DataFrame) -> DataFrame:
 def size_factors(counts: DataFrame, samples: DataFrame) -> DataFrame:
     """Median over features of count / geometric mean, from features counted in every sample.
 
-    The per-sample median runs over all features, hence the range-partitioned quantile.
+    The per-sample median runs over all features, hence the range-partitioned quantile. The counts
+    are read twice (means, then ratios), so they are stored instead of aggregated twice.
     """
+    counts = cut_lineage(counts)
     n = samples.select("sample").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     positive = counts.filter(F.col("count") > 0)
     means = positive.groupBy("feature").agg(F.avg(F.log("count")).alias("log_mean"), F.count(F.lit(1)).alias("seen"))

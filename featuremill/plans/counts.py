@@ -74,17 +74,20 @@ factors AS (SELECT sample, exp(median(ln(count) - m)) AS size_factor FROM counts
 norm AS (SELECT feature, sample, count, count / size_factor AS norm FROM counts JOIN factors USING (sample))"""
 
 
-def factors(spark, sf):
-    return C.size_factors(symbol_counts(spark, sf), design(spark, sf))
+def stored_counts(spark, sf):
+    """Symbol counts kept as a table, for queries that read them more than once."""
+    return cut_lineage(symbol_counts(spark, sf))
 
 
 def norm(spark, sf):
-    return C.normalized_counts(symbol_counts(spark, sf), factors(spark, sf))
+    counts = stored_counts(spark, sf)
+    return C.normalized_counts(counts, C.size_factors(counts, design(spark, sf)))
 
 
 @query("size_factors", f"WITH {FACTORS} SELECT sample, {rs('size_factor', 8)} AS size_factor FROM factors")
 def size_factors(spark, sf):
-    return factors(spark, sf).select("sample", r("size_factor", 8).alias("size_factor"))
+    factors = C.size_factors(symbol_counts(spark, sf), design(spark, sf))
+    return factors.select("sample", r("size_factor", 8).alias("size_factor"))
 
 
 @query("base_mean", f"""WITH {FACTORS}
@@ -99,7 +102,8 @@ def stabilised_log(spark, sf):
 
 
 def nb_input(spark, sf):
-    return NB.model_input(symbol_counts(spark, sf), design(spark, sf), factors(spark, sf), TREATED)
+    counts = stored_counts(spark, sf)
+    return NB.model_input(counts, design(spark, sf), C.size_factors(counts, design(spark, sf)), TREATED)
 
 
 @query("nb_dispersion")

@@ -263,7 +263,8 @@ def ordered_intersect(spark, sf):
     return S.ordered_intersect(ranked, "p_name", "rank", part.filter("p_size = 50"), "p_name")
 
 
-@query("set_equality", """SELECT 'same' AS pair, true AS equal UNION ALL SELECT 'other', false""")
+@query("set_equality", """SELECT 'same' AS pair, NOT EXISTS (SELECT p_brand FROM part EXCEPT SELECT p_brand FROM part WHERE p_brand IS NOT NULL) AS equal
+UNION ALL SELECT 'other', NOT EXISTS (SELECT p_brand FROM part EXCEPT SELECT p_brand FROM part WHERE p_brand <> 'Brand#1')""")
 def set_equality(spark, sf):
     part = table(spark, sf, "part").select("p_brand")
     same = S.set_equal(part, part.filter("p_brand IS NOT NULL"), ["p_brand"]).select(F.lit("same").alias("pair"), "equal")
