@@ -40,13 +40,14 @@ def keep_not_in(df: DataFrame, col: str, other: DataFrame, other_col: str) -> Da
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the smallest by ``order``.
+    """One row per key: the smallest by ``order``, missing values last.
 
     Written as an aggregate (min of a struct) so each map task sends one row per key, which a
     ``row_number`` window would not do for a hot key.
     """
     rest = [c for c in df.columns if c not in keys]
-    packed = F.struct(*order, *[c for c in rest if c not in order])
+    ranked = [x for c in order for x in (F.col(c).isNull().alias(f"__no_{c}"), F.col(c))]
+    packed = F.struct(*ranked, *[c for c in rest if c not in order])
     return (
         df.groupBy(*keys)
         .agg(F.min(packed).alias("__first"))

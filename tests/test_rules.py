@@ -34,11 +34,11 @@ def test_missing_keys_match(spark):
 
 def test_first_match_and_unique_guard(spark):
     a = spark.createDataFrame([(1,), (2,)], "k int")
-    b = spark.createDataFrame([(1, 9), (1, 3), (2, 5)], "k int, v int")
+    b = spark.createDataFrame([(1, 9), (1, 3), (1, None), (2, 5)], "k int, v int")
     assert rows(J.first_match_join(a, b, ["k"], ["v"])) == [(1, 3), (2, 5)]
     with pytest.raises(PySparkException):
         J.guard_unique(b, ["k"]).collect()
-    assert J.guard_unique(b, ["v"]).count() == 3
+    assert J.guard_unique(b, ["v"]).count() == 4
 
 
 def test_strict_aggregate_and_logs(spark):
