@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import exactdedup, mixing, sharding
+from . import editprint, exactdedup, mixing, packing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +85,20 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target, (whole * size +
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     sized = cut_lineage(documents(spark, sf).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
     return mixing.mix(sized, "size").select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    fps = cut_lineage(documents(spark, sf).select("doc_id", simhash.fingerprint(F.col("text")).alias("fp")))
+    return simhash.group_near(fps).select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf))
+    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op2_edit_fingerprint")
+def op2_edit_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return editprint.compare_with_next(documents(spark, sf))
