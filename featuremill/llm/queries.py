@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import editprint, exactdedup, mixing, packing, sharding, simhash
+from . import editprint, exactdedup, mixing, packing, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,11 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_edit_fingerprint")
 def op2_edit_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return editprint.compare_with_next(documents(spark, sf))
+
+
+@query("op7_warc")
+def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
+    pages = spark.read.schema(PAGES).parquet(f"{sf}/pages.parquet")
+    folder = warc.archive_folder(spark)
+    warc.archive(pages, folder)
+    return warc.payload_table(warc.read_archives(spark, folder, with_data=False)).withColumnRenamed("record_id", "page_id")
