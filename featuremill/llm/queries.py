@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import editprint, exactdedup, mixing, packing, sharding, simhash, warc
+from . import editprint, exactdedup, mixing, packing, pii, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,3 +110,13 @@ def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     warc.archive(pages, folder)
     return warc.payload_table(warc.read_archives(spark, folder, with_data=False)).withColumnRenamed("record_id", "page_id")
+
+
+#: Of this query; a deployment passes its own.
+PII_KEY = b"key of the registered query"
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
+    done = pii.pseudonymise(documents(spark, sf), PII_KEY)
+    return done.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_replaced"), "pii_spans")
