@@ -109,11 +109,14 @@ def first_words(text: Column, words: Column) -> Column:
     return cut(text, words)
 
 
-def repeat_mixed(mixed: DataFrame, size: str, text: str = "text") -> DataFrame:
-    """The mix itself: a document once for each whole time it is taken, and its first words for a part."""
+def repeat_mixed(mixed: DataFrame, size: str, text: str = "text", n_chars: str | None = None) -> DataFrame:
+    """The mix itself: a document once for each whole time it is taken, and its first words for a part, with ``n_chars`` of that part."""
     whole = F.when(F.col(size) > 0, F.floor(F.col("taken") / F.col(size))).otherwise(F.lit(0)).cast("int")
     left = F.col("taken") - whole * F.col(size)
     times = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<bigint>")))
     copies = mixed.withColumn("__part", F.explode(times))
     part = F.col("__part")
-    return copies.withColumn(text, F.when(part > 0, first_words(F.when(part > 0, F.col(text)), part)).otherwise(F.col(text))).drop("__part")
+    out = copies.withColumn(text, F.when(part > 0, first_words(F.when(part > 0, F.col(text)), part)).otherwise(F.col(text)))
+    if n_chars:
+        out = out.withColumn(n_chars, F.when(part > 0, F.char_length(text).cast(mixed.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return out.drop("__part")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import editprint, exactdedup, mixing, packing, pii, sharding, simhash, warc
+from . import editprint, exactdedup, langid, mixing, packing, pii, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,3 +120,22 @@ PII_KEY = b"key of the registered query"
 def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
     done = pii.pseudonymise(documents(spark, sf), PII_KEY)
     return done.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_replaced"), "pii_spans")
+
+
+def remainder(n: int):
+    """crc32 of the id as text, modulo n: how the contracts split learning from holding out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query("op3_language")
+def op3_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    net = langid.train(docs.filter(remainder(4) != 2))
+    return langid.identify(docs.select("doc_id", "text"), net).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = documents(spark, sf), spark.read.schema(LABELS).parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels.filter(remainder(3) != 1))
+    return quality.classify(docs.select("doc_id", "text"), model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
