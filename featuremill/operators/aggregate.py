@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nulls import strict
 from .joins import null_safe_join
 
 
@@ -37,20 +38,23 @@ def repeated_keys(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return count_rows(df, *keys, name=name).filter(F.col(name) > 1)
 
 
-def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row per column with mean, median, min and max; missing values are skipped."""
+def describe(df: DataFrame, cols: list[str], na_rm: bool = False) -> DataFrame:
+    """One row per column with mean, median, min and max. A missing value makes them missing, unless ``na_rm`` skips it."""
     from .ordered import median_by
 
     pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])
     long = df.select(F.inline(pairs))
-    basic = long.groupBy("variable").agg(
-        F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")
-    )
-    return basic.join(median_by(long, ["variable"], "value"), "variable").select("variable", "mean", "median", "min", "max")
+    v = F.col("value")
+    whole = F.lit(True) if na_rm else F.count(F.lit(1)) == F.count(v)
+    basic = long.groupBy("variable").agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), whole.alias("__whole"))
+    both = basic.join(median_by(long, ["variable"], "value"), "variable", "left")
+    return both.select("variable", *[F.when(F.col("__whole"), F.col(c)).alias(c) for c in ("mean", "median", "min", "max")])
 
 
-def mean_and_sd(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd"))
+def mean_and_sd(df: DataFrame, col: str, na_rm: bool = False) -> DataFrame:
+    """Mean and standard deviation; a missing value makes them missing, unless ``na_rm`` skips it."""
+    take = (lambda f: f(F.col(col))) if na_rm else (lambda f: strict(f, F.col(col)))
+    return df.agg(take(F.avg).alias("mean"), take(F.stddev_samp).alias("sd"))
 
 
 def share_of_total(df: DataFrame, value: str, out: str = "share") -> DataFrame:

@@ -85,15 +85,24 @@ def check_supplied(df: DataFrame, computed: str, supplied: str, digits: int = 9)
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(same, F.lit(False))).alias("different"))
 
 
-def feature_stats(long: DataFrame, value: str = "share") -> DataFrame:
-    """Mean, sd, median and scaled MAD per feature; a feature has at most one value per sample."""
-    medians = with_group_stats(long.select("feature", value), ["feature"], __med=F.median(value))
-    return medians.groupBy("feature").agg(
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("sd"),
-        F.max("__med").alias("median"),
-        (F.median(F.abs(F.col(value) - F.col("__med"))) * 1.4826).alias("mad"),
-    )
+def feature_stats(long: DataFrame, samples: DataFrame, value: str = "share") -> DataFrame:
+    """Mean, sd, median and scaled MAD per feature over all samples; an absent cell is a zero.
+
+    A feature's values make one array as long as the number of samples, and all four figures are
+    read off its sorted form.
+    """
+    n = samples.select("sample").distinct().agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
+    present = long.groupBy("feature").agg(F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).alias("__v")).withColumn("__n", n)
+    padded = F.array_sort(F.concat("__v", F.array_repeat(F.lit(0.0), F.col("__n") - F.size("__v"))))
+
+    def middle(a: Column) -> Column:
+        return (F.get(a, F.floor((F.col("__n") - 1) / 2).cast("int")) + F.get(a, F.floor(F.col("__n") / 2).cast("int"))) / 2
+
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    out = present.withColumn("__v", padded).withColumn("mean", total(F.col("__v")) / F.col("__n")).withColumn("median", middle(F.col("__v")))
+    squares = total(F.transform("__v", lambda x: (x - F.col("mean")) * (x - F.col("mean"))))
+    apart = F.array_sort(F.transform("__v", lambda x: F.abs(x - F.col("median"))))
+    return out.select("feature", "mean", F.when(F.col("__n") > 1, F.sqrt(squares / (F.col("__n") - 1))).alias("sd"), "median", (middle(apart) * 1.4826).alias("mad"))
 
 
 def feature_size(df: DataFrame, residues: list[str], out: str = "size") -> DataFrame:
@@ -135,11 +144,11 @@ def duplicate_structures(df: DataFrame, id_col: str, structure: str) -> DataFram
 
 
 def wide_by_sample(long: DataFrame, samples: list[str], value: str = "share") -> DataFrame:
-    return to_wide(long, ["feature"], "sample", value, samples)
+    return to_wide(long, ["feature"], "sample", value, samples, fill=0.0)
 
 
 def wide_by_feature(long: DataFrame, features: list[str], value: str = "share") -> DataFrame:
-    return to_wide(long, ["sample"], "feature", value, features)
+    return to_wide(long, ["sample"], "feature", value, features, fill=0.0)
 
 
 def group_members(samples: DataFrame, condition: str) -> DataFrame:
@@ -252,11 +261,12 @@ def motif_carriers(motifs: DataFrame, features: DataFrame, pattern: str, value:
     return having.withColumn("other_sum", without)
 
 
-def annotated_ranking(kept: DataFrame, values: DataFrame, condition: str, samples: list[str], value: str) -> DataFrame:
-    """Chosen features with their control mean and one column per sample."""
+def annotated_ranking(kept: DataFrame, values: DataFrame, design: DataFrame, condition: str, samples: list[str], value: str) -> DataFrame:
+    """Chosen features with their control mean and one column per sample; an absent cell is a zero."""
     chosen = values.join(kept, "feature", "left_semi")
-    means = chosen.filter(F.col("condition") == condition).groupBy("feature").agg(F.avg(value).alias("control_mean"))
-    return means.join(to_wide(chosen, ["feature"], "sample", value, samples), "feature")
+    n = design.filter(F.col("condition") == condition).select("sample").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    means = chosen.groupBy("feature").agg((F.coalesce(F.sum(F.when(F.col("condition") == condition, F.col(value))), F.lit(0.0)) / n).alias("control_mean"))
+    return means.join(to_wide(chosen, ["feature"], "sample", value, samples, fill=0.0), "feature")
 
 
 def term_member_table(annotation: DataFrame, values: DataFrame, term: str) -> DataFrame:

@@ -114,13 +114,17 @@ def group_mean_wide(values: DataFrame, samples: DataFrame, value: str, levels: l
     return values.join(sizes, "sample").groupBy("feature").agg(*[one(v).alias(v) for v in levels])
 
 
-def combine_results(tests: DataFrame, counts: DataFrame, transformed: DataFrame, samples: DataFrame) -> DataFrame:
-    """Test results joined with counts, transformed values and sample conditions, in long form."""
-    return (
-        tests.join(counts.select("feature", "sample", "count"), "feature")
-        .join(transformed, ["feature", "sample"])
-        .join(samples.select("sample", "condition").distinct(), "sample")
-    )
+def combine_results(tests: DataFrame, counts: DataFrame, transformed: DataFrame, samples: DataFrame, absent: dict[str, float] | None = None) -> DataFrame:
+    """Test results of every feature with counts, transformed values and condition of every sample, in long form.
+
+    The output has a row per feature and sample, so the (few) samples travel as one array that each
+    test row unfolds. An absent cell counts zero; ``absent`` says what its transformed values are.
+    """
+    every = samples.select("sample", "condition").distinct().agg(F.sort_array(F.collect_list(F.struct("sample", "condition"))).alias("s")).scalar()
+    grid = tests.withColumn("__s", F.explode(every)).withColumns({"sample": F.col("__s.sample"), "condition": F.col("__s.condition")}).drop("__s")
+    cells = counts.select("feature", "sample", "count").join(transformed, ["feature", "sample"], "left")
+    fill = {"count": 0.0, **(absent or {})}
+    return grid.join(cells, ["feature", "sample"], "left").na.fill(fill)
 
 
 def two_group_log_ratio(wide: DataFrame, treated: str, control: str, pseudo: float = 1.0) -> DataFrame:

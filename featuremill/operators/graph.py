@@ -76,14 +76,14 @@ def markov_cluster(
     edges: DataFrame,
     inflation: float = 2.5,
     prune: float = 1e-4,
-    max_rounds: int = 16,
+    max_rounds: int = 100,
     tolerance: float = 1e-3,
     weighted: bool = False,
 ) -> DataFrame:
     """(vertex, cluster) after rounds of expansion and inflation.
 
     Stops when every column is nearly even over its entries (largest entry minus sum of squares
-    below the tolerance). Each round ends in a reliable checkpoint, so a lost executor repeats one
+    below the tolerance); fails when ``max_rounds`` do not get there. Each round ends in a reliable checkpoint, so a lost executor repeats one
     round at most; one number per round reaches the driver.
     """
     matrix = cut_lineage(stochastic_matrix(edges, weighted))
@@ -91,8 +91,8 @@ def markov_cluster(
         matrix = cut_lineage(markov_round(matrix, inflation, prune))
         uneven = matrix.groupBy("j").agg((F.max("v") - F.sum(F.col("v") * F.col("v"))).alias("d")).agg(F.max("d")).first()[0]
         if uneven is None or uneven < tolerance:
-            break
-    return clusters_of(matrix)
+            return clusters_of(matrix)
+    raise ValueError(f"no stable clusters after {max_rounds} rounds")
 
 
 def number_clusters(assigned: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import log2_inf, log10_inf
 from ..functions.nulls import not_in_constants
-from .aggregate import count_rows, with_group_stats
+from .aggregate import count_rows
 from .joins import keep_in, keep_not_in, null_safe_join
 from .ordered import top_with_ties
 
@@ -43,11 +43,16 @@ def specific_markers(
     return keep_not_in(merged, "symbol", ambiguous_markers(database, curated, categories, exempt), "symbol")
 
 
-def category_expression(markers: DataFrame, values: DataFrame) -> DataFrame:
-    """Markers with their per-million values, logs, and the mean per category."""
+def category_expression(markers: DataFrame, values: DataFrame, samples: DataFrame) -> DataFrame:
+    """Markers with their per-million values, logs, and the mean per category.
+
+    The mean runs over every marker of the category and every sample; an absent cell, which has no row, is a zero in it.
+    """
+    n = samples.select("sample").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     joined = markers.select("category", "symbol").join(values.select("symbol", "sample", "condition", "tpm"), "symbol").distinct()
     logged = joined.withColumns({"tpm_log10": log10_inf(F.col("tpm")), "tpm_log2": log2_inf(F.col("tpm"))})
-    return with_group_stats(logged, ["category"], mean_category_tpm=F.avg("tpm"))
+    means = joined.groupBy("category", "symbol").agg(F.sum("tpm").alias("t")).groupBy("category").agg((F.sum("t") / (F.count(F.lit(1)) * n)).alias("mean_category_tpm"))
+    return null_safe_join(logged, means, ["category"])
 
 
 def markers_per_category(markers: DataFrame) -> DataFrame:
@@ -61,34 +66,43 @@ def markers_in_hits(markers: DataFrame, hits: DataFrame) -> DataFrame:
     return count_rows(found, "category", name="hits").join(markers_per_category(pairs).withColumnRenamed("n", "markers"), "category")
 
 
-def anchor_minimum(values: DataFrame, anchor: str) -> Column:
-    """Smallest value of one anchor symbol, as a scalar subquery."""
-    return values.filter(F.col("symbol") == anchor).agg(F.min("tpm").alias("m")).scalar()
+def anchor_minimum(values: DataFrame, anchor, samples: DataFrame) -> Column:
+    """Smallest value of one anchor symbol over all samples, as a scalar subquery; zero when a sample lacks it."""
+    n = samples.select("sample").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    whole = F.count_distinct("sample") == n
+    return values.filter(F.col("symbol") == anchor).agg(F.when(whole, F.min("tpm")).otherwise(0.0).alias("m")).scalar()
+
+
+def complete_symbol(values: DataFrame, samples: DataFrame) -> Column:
+    """The smallest symbol that every sample has, as a scalar subquery: a usable anchor."""
+    n = samples.select("sample").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    return values.groupBy("symbol").agg(F.count_distinct("sample").alias("n")).filter(F.col("n") == n).agg(F.min("symbol").alias("m")).scalar()
 
 
-def group_means(values: DataFrame, condition: str) -> DataFrame:
+def group_means(values: DataFrame, condition: str, samples: DataFrame | None = None) -> DataFrame:
     """(symbol, mean_tpm, mean_log10, max_tpm) over the samples of one condition.
 
-    An absent cell is a zero: it enters the mean, and makes the mean of logs minus infinity.
+    The samples are those of ``samples`` (sample, condition), or else those that occur. An absent cell is a zero: it enters the mean, and makes the mean of logs minus infinity.
     """
     group = values.filter(F.col("condition") == condition)
-    n = group.agg(F.count_distinct("sample").alias("n")).scalar()
+    design = values if samples is None else samples
+    n = design.filter(F.col("condition") == condition).select("sample").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     logs = F.when(F.count(F.lit(1)) < n, F.lit(float("-inf"))).otherwise(F.sum(log10_inf(F.col("tpm"))) / n)
     return group.groupBy("symbol").agg(
         (F.sum("tpm") / n).alias("mean_tpm"), logs.alias("mean_log10"), F.max("tpm").alias("max_tpm")
     )
 
 
-def high_in_any_sample(values: DataFrame, condition: str, cutoff: Column | float) -> DataFrame:
+def high_in_any_sample(values: DataFrame, condition: str, cutoff: Column | float, samples: DataFrame | None = None) -> DataFrame:
     """Symbols at or above the cutoff in at least one sample of the condition, with their group mean."""
     limit = cutoff if isinstance(cutoff, Column) else F.lit(cutoff)
-    return group_means(values, condition).filter(F.col("max_tpm") >= limit).select("symbol", "mean_tpm")
+    return group_means(values, condition, samples).filter(F.col("max_tpm") >= limit).select("symbol", "mean_tpm")
 
 
-def high_on_average(values: DataFrame, condition: str, cutoff: Column | float) -> DataFrame:
+def high_on_average(values: DataFrame, condition: str, cutoff: Column | float, samples: DataFrame | None = None) -> DataFrame:
     """Symbols whose group mean is at or above the cutoff."""
     limit = cutoff if isinstance(cutoff, Column) else F.lit(cutoff)
-    return group_means(values, condition).filter(F.col("mean_tpm") >= limit).select("symbol", "mean_tpm", "mean_log10")
+    return group_means(values, condition, samples).filter(F.col("mean_tpm") >= limit).select("symbol", "mean_tpm", "mean_log10")
 
 
 def evidence_matrix(base: DataFrame, lists: dict[str, DataFrame], means: DataFrame) -> DataFrame:
@@ -105,6 +119,6 @@ def top_label(df: DataFrame, col: str, named: list[str], out: str = "label") ->
     return df.withColumn(out, F.when(F.col(col).isin(named), F.col(col)).otherwise("None"))
 
 
-def top_mean_features(values: DataFrame, condition: str, k: int) -> DataFrame:
+def top_mean_features(values: DataFrame, condition: str, k: int, samples: DataFrame | None = None) -> DataFrame:
     """Highest mean per-million features of one condition, ties kept."""
-    return top_with_ties(group_means(values, condition).select("symbol", "mean_tpm"), "mean_tpm", k)
+    return top_with_ties(group_means(values, condition, samples).select("symbol", "mean_tpm"), "mean_tpm", k)

@@ -181,7 +181,7 @@ def learned_weights(df: DataFrame, tiles: int, folds: int = 5, alpha: float = 0.
     weights = hist.groupBy("fold").applyInPandas(lambda pdf: _learn(pdf, alpha), "fold int, tile int, weight double")
     out = tiled.join(weights, ["fold", "tile"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     # Within a fold the weights must average one over its own tests.
-    scaled = with_group_stats(out, ["fold"], __mean=F.avg("weight"))
+    scaled = with_group_stats(out, ["fold"], __mean=F.avg(F.when(F.col("p").isNotNull(), F.col("weight"))))
     return scaled.withColumn("weight", F.coalesce(F.try_divide(F.col("weight"), F.col("__mean")), F.lit(1.0))).drop("__mean")
 
 

@@ -35,14 +35,16 @@ def to_long(df: DataFrame, ids: list[str], values: list[str], name_to: str, valu
 
 
 def to_wide(df: DataFrame, keys: list[str], names: str, value: str, levels: list, fill=None, name=str) -> DataFrame:
-    """Long to wide with stated columns, in one aggregate. A repeated cell fails the job."""
+    """Long to wide with stated columns, in one aggregate. A repeated cell and a level that is not stated fail the job."""
+    stray = F.max(F.when(~F.coalesce(F.col(names).isin(*levels), F.lit(False)), F.coalesce(F.col(names).cast("string"), F.lit("a missing level"))))
+    checked = F.when(stray.isNotNull(), F.raise_error(F.concat(F.lit("not among the levels: "), stray)))
     def cell(level):
         here = F.col(names) == F.lit(level)
         many = F.count_if(here) > 1
         v = F.max(F.when(here, F.col(value)))
         if fill is not None:
             v = F.coalesce(v, F.lit(fill))
-        return F.when(many, F.raise_error(F.lit(f"several values for {level}"))).otherwise(v).alias(name(level))
+        return F.when(many, F.raise_error(F.lit(f"several values for {level}"))).when(checked.isNull(), v).alias(name(level))
 
     return df.groupBy(*keys).agg(*[cell(v) for v in levels])
 

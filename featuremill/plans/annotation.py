@@ -93,11 +93,11 @@ def source_diff(spark, sf):
     return A.source_diff(_source(spark, sf, 1, 30, "x"), _source(spark, sf, 20, 45, "x"))
 
 
-@query("term_diff", """WITH a AS (SELECT DISTINCT p_name AS term FROM part WHERE p_size < 3), b AS (SELECT DISTINCT p_name AS term FROM part WHERE p_size > 48)
+@query("term_diff", """WITH a AS (SELECT DISTINCT p_name AS term FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT DISTINCT p_name AS term FROM part WHERE p_partkey % 3 <> 1)
 SELECT term, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT term, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def term_diff(spark, sf):
     part = table(spark, sf, "part").withColumnRenamed("p_name", "term")
-    return A.term_diff(part.filter("p_size < 3"), part.filter("p_size > 48"))
+    return A.term_diff(part.filter("p_partkey % 3 <> 0"), part.filter("p_partkey % 3 <> 1"))
 
 
 def annotation_table(spark, sf):
@@ -125,19 +125,19 @@ def gene_tests(spark, sf):
 
 
 @query("reference_and_rank", f"""WITH {SAMPLES}, {PART_TESTS}, tests AS ({bh_sql('part_tests', 'p')}),
-ref AS (SELECT DISTINCT p_partkey::VARCHAR AS gene FROM part WHERE p_size % 7 <> 0 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'))
+ref AS (SELECT DISTINCT p_partkey::VARCHAR AS gene FROM part WHERE p_size % 7 <> 0 AND p_partkey IN (SELECT l_partkey FROM lineitem))
 SELECT feature::VARCHAR AS gene, row_number() OVER (ORDER BY padj NULLS LAST, feature::VARCHAR) AS rank FROM tests WHERE feature::VARCHAR IN (SELECT gene FROM ref)""")
 def reference_and_rank(spark, sf):
-    detected = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("gene"))
+    detected = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("gene"))
     named = annotation_table(spark, sf).filter("db = 'names'")
     return A.ranked_list(gene_tests(spark, sf), A.reference_set(detected, named))
 
 
 @query("unannotated_union", """SELECT 'large' AS kind, p_partkey AS id FROM part WHERE p_size > 45 UNION ALL
-SELECT 'unsold', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 40)""")
+SELECT 'unsold', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey % 11 <> 0)""")
 def unannotated_union(spark, sf):
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size")
-    sold = table(spark, sf, "lineitem").filter("l_quantity >= 40").select(F.col("l_partkey").alias("id"))
+    sold = table(spark, sf, "lineitem").filter("l_partkey % 11 <> 0").select(F.col("l_partkey").alias("id"))
     large = A.unannotated(part, part.filter("p_size <= 45")).select(F.lit("large").alias("kind"), "id")
     unsold = A.unannotated(part, sold).select(F.lit("unsold").alias("kind"), "id")
     return stack(large, unsold)

@@ -112,10 +112,11 @@ def check_supplied(spark, sf):
     return K.check_supplied(shares(spark, sf).withColumn("supplied", supplied), "share", "supplied", 9)
 
 
-@query("feature_stats", f"""WITH {SHARES} SELECT feature, {rs('avg(share)', 8)} AS mean, {rs('stddev_samp(share)', 8)} AS sd, {rs('median(share)', 8)} AS median,
-  {rs('mad(share) * 1.4826', 8)} AS mad FROM shares GROUP BY 1""")
+@query("feature_stats", f"""WITH {SHARES}, grid AS (SELECT f.feature, coalesce(share, 0.0) AS share FROM (SELECT DISTINCT feature FROM shares) f CROSS JOIN design d
+  LEFT JOIN shares s ON s.feature = f.feature AND s.sample = d.sample)
+SELECT feature, {rs('avg(share)', 8)} AS mean, {rs('stddev_samp(share)', 8)} AS sd, {rs('median(share)', 8)} AS median, {rs('mad(share) * 1.4826', 8)} AS mad FROM grid GROUP BY 1""")
 def feature_stats(spark, sf):
-    return K.feature_stats(shares(spark, sf)).select("feature", *[r(c, 8).alias(c) for c in ("mean", "sd", "median", "mad")])
+    return K.feature_stats(shares(spark, sf), design(spark, sf)).select("feature", *[r(c, 8).alias(c) for c in ("mean", "sd", "median", "mad")])
 
 
 def sized(spark, sf):
@@ -172,15 +173,15 @@ def brand_shares(spark, sf):
 
 
 @query("wide_by_sample", f"WITH {BRAND_SHARES} SELECT feature, " + ", ".join(
-    f"{rs(f'max(CASE WHEN sample = {chr(39)}{n}{chr(39)} THEN share END)', 7)} AS {n}" for n in NATIONS) + " FROM bs GROUP BY 1")
+    f"{rs(f'coalesce(max(CASE WHEN sample = {chr(39)}{n}{chr(39)} THEN share END), 0.0)', 6)} AS {n}" for n in NATIONS) + " FROM bs GROUP BY 1")
 def wide_by_sample(spark, sf):
-    return K.wide_by_sample(brand_shares(spark, sf), NATIONS).select("feature", *[r(n, 7).alias(n) for n in NATIONS])
+    return K.wide_by_sample(brand_shares(spark, sf), NATIONS).select("feature", *[r(n, 6).alias(n) for n in NATIONS])
 
 
 @query("wide_by_feature", f"WITH {BRAND_SHARES} SELECT sample, " + ", ".join(
-    f"{rs(f'max(CASE WHEN feature = {chr(39)}{b}{chr(39)} THEN share END)', 7)} AS \"{b}\"" for b in BRANDS) + " FROM bs GROUP BY 1")
+    f"{rs(f'coalesce(max(CASE WHEN feature = {chr(39)}{b}{chr(39)} THEN share END), 0.0)', 6)} AS \"{b}\"" for b in BRANDS) + " FROM bs GROUP BY 1")
 def wide_by_feature(spark, sf):
-    return K.wide_by_feature(brand_shares(spark, sf), BRANDS).select("sample", *[r(F.col(f"`{b}`"), 7).alias(b) for b in BRANDS])
+    return K.wide_by_feature(brand_shares(spark, sf), BRANDS).select("sample", *[r(F.col(f"`{b}`"), 6).alias(b) for b in BRANDS])
 
 
 # Motifs ----------------------------------------------------------------------------------------
@@ -264,20 +265,20 @@ def motif_carriers(spark, sf):
 KEPT = ["Brand#3", "Brand#7", "Brand#12", "Brand#20"]
 
 
-@query("annotated_ranking", f"""WITH {BRAND_SHARES} SELECT feature, {rs("sum(CASE WHEN condition = 'control' THEN share END) / count(CASE WHEN condition = 'control' THEN 1 END)", 7)} AS control_mean, """
-       + ", ".join(f"{rs(f'max(CASE WHEN sample = {chr(39)}{n}{chr(39)} THEN share END)', 7)} AS {n}" for n in NATIONS)
+@query("annotated_ranking", f"""WITH {BRAND_SHARES} SELECT feature, {rs("coalesce(sum(CASE WHEN condition = 'control' THEN share END), 0.0) / (SELECT count(*) FROM design WHERE condition = 'control')", 7)} AS control_mean, """
+       + ", ".join(f"{rs(f'coalesce(max(CASE WHEN sample = {chr(39)}{n}{chr(39)} THEN share END), 0.0)', 7)} AS {n}" for n in NATIONS)
        + f" FROM bs JOIN design USING (sample) WHERE feature IN ({', '.join(repr(b) for b in KEPT)}) GROUP BY 1")
 def annotated_ranking(spark, sf):
     kept = spark.createDataFrame([(b,) for b in KEPT], "feature string")
     values = cut_lineage(brand_shares(spark, sf).join(design(spark, sf), "sample"))
-    out = K.annotated_ranking(kept, values, CONTROL, NATIONS, "share")
+    out = K.annotated_ranking(kept, values, design(spark, sf), CONTROL, NATIONS, "share")
     return out.select("feature", r("control_mean", 7).alias("control_mean"), *[r(n, 7).alias(n) for n in NATIONS])
 
 
 @query("term_member_table", f"""WITH {SHARES} SELECT feature, """ + ", ".join(
-    f"{rs(f'max(CASE WHEN sample = {chr(39)}{n}{chr(39)} THEN share END)', 7)} AS {n}" for n in NATIONS)
+    f"{rs(f'coalesce(max(CASE WHEN sample = {chr(39)}{n}{chr(39)} THEN share END), 0.0)', 7)} AS {n}" for n in NATIONS)
     + " FROM shares WHERE feature IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO') GROUP BY 1")
 def term_member_table(spark, sf):
     annotation = table(spark, sf, "part").select(F.col("p_partkey").alias("gene"), F.col("p_type").alias("term"))
     members = K.term_member_table(annotation, shares(spark, sf), "PROMO")
-    return to_wide(members, ["feature"], "sample", "share", NATIONS).select("feature", *[r(n, 7).alias(n) for n in NATIONS])
+    return to_wide(members, ["feature"], "sample", "share", NATIONS, fill=0.0).select("feature", *[r(n, 7).alias(n) for n in NATIONS])

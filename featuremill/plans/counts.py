@@ -19,11 +19,11 @@ from .base import (
 
 
 @query("tpm_top_features", f"""WITH {TPM},
-means AS (SELECT symbol, sum(tpm) / (SELECT count(DISTINCT sample) FROM tpm WHERE condition = 'control') AS mean_tpm
+means AS (SELECT symbol, sum(tpm) / (SELECT count(*) FROM design WHERE condition = 'control') AS mean_tpm
   FROM tpm WHERE condition = 'control' GROUP BY 1)
 SELECT symbol, {rs('mean_tpm', 3)} AS mean_tpm FROM means QUALIFY rank() OVER (ORDER BY mean_tpm DESC) <= 10""")
 def tpm_top_features(spark, sf):
-    top = M.top_mean_features(symbol_tpm(spark, sf), CONTROL, 10)
+    top = M.top_mean_features(symbol_tpm(spark, sf), CONTROL, 10, design(spark, sf))
     return top.select("symbol", r("mean_tpm", 3).alias("mean_tpm"))
 
 
@@ -58,13 +58,11 @@ def mapping_ambiguity(spark, sf):
     return stack(many_ids, many_symbols)
 
 
-@query("detected_flag", f"""WITH {SAMPLES}, t AS (SELECT l_partkey, sum(l_quantity) AS total FROM lineitem JOIN samples ON l_suppkey = s_suppkey
-  WHERE condition = 'control' AND l_returnflag = 'R' AND l_linestatus = 'F' AND l_discount > 0.08 GROUP BY 1)
+@query("detected_flag", f"""WITH {SAMPLES}, t AS (SELECT l_partkey, sum(l_quantity) AS total FROM lineitem JOIN samples ON l_suppkey = s_suppkey WHERE l_partkey % 9 <> 0 GROUP BY 1)
 SELECT p_partkey AS feature, coalesce(total, 0.0) AS total, coalesce(total, 0.0) > 0 AS detected FROM part LEFT JOIN t ON l_partkey = p_partkey""")
 def detected_flag(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_linestatus = 'F' AND l_discount > 0.08")
-    few = li.join(samples(spark, sf).filter(F.col("condition") == CONTROL), F.col("l_suppkey") == F.col("s_suppkey"))
-    counts = few.select(F.col("l_partkey").alias("feature"), "sample", F.col("l_quantity").alias("count"))
+    li = table(spark, sf, "lineitem").filter("l_partkey % 9 <> 0")  # some features were never counted
+    counts = li.join(samples(spark, sf), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("feature"), "sample", F.col("l_quantity").alias("count"))
     return C.detected_flag(counts, table(spark, sf, "part").select(F.col("p_partkey").alias("feature")))
 
 
@@ -190,11 +188,11 @@ def rejection_counts(spark, sf):
 
 @query("combine_results", f"""WITH {PART_RESULTS}
 SELECT feature, sample, condition, count, {rs('padj', 9)} AS padj, {rs('log2fc', 6)} AS log2fc, {rs('log2(count + 1.0)', 6)} AS log2_count
-FROM results JOIN part_counts USING (feature) JOIN design USING (sample)""")
+FROM (SELECT r.*, d.*, coalesce(c.count, 0.0) AS count FROM results r CROSS JOIN design d LEFT JOIN part_counts c ON c.feature = r.feature AND c.sample = d.sample)""")
 def combine_results(spark, sf):
     counts = part_counts(spark, sf)
     logged = counts.select("feature", "sample", F.log2(F.col("count") + 1.0).alias("log2_count"))
-    out = C.combine_results(part_results(spark, sf), counts, logged, design(spark, sf))
+    out = C.combine_results(part_results(spark, sf), counts, logged, design(spark, sf), {"log2_count": 0.0})
     return out.select(
         "feature", "sample", "condition", "count", r("padj", 9).alias("padj"), r("log2fc").alias("log2fc"), r("log2_count").alias("log2_count")
     )
@@ -257,8 +255,8 @@ def marker_database(spark, sf):
 
 def curated_markers(spark, sf):
     organ = F.when(F.col("p_size") % 2 == 0, "organ A").otherwise("organ B")
-    li = table(spark, sf, "lineitem").filter("l_quantity = 50 AND l_discount = 0.1").select("l_partkey")
-    return li.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
+    """A list made by hand: every twelfth part."""
+    return table(spark, sf, "part").filter("p_partkey % 12 = 0").select(
         _marker_symbol("p_partkey"), F.col("p_type").alias("category"), organ.alias("organ")
     ).distinct()
 
@@ -275,7 +273,7 @@ MARKERS = f"""db AS (SELECT p_partkey // 2 AS symbol, p_type AS category, {_ORGA
   CASE p_size % 3 WHEN 0 THEN 'Mm' WHEN 1 THEN 'Mm Hs' ELSE 'Hs' END AS species,
   CASE WHEN p_size % 4 <> 0 THEN 1 END AS canonical, CASE WHEN p_size <= 45 THEN p_retailprice - 960.0 END AS specificity FROM part),
 curated AS (SELECT DISTINCT p_partkey // 2 AS symbol, p_type AS category, {_ORGAN} AS organ
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50 AND l_discount = 0.1),
+  FROM part WHERE p_partkey % 12 = 0),
 ambiguous AS (SELECT symbol FROM db FULL JOIN curated USING (symbol, category, organ)
   WHERE symbol <> 7 AND category IN ({_CATS}) GROUP BY 1 HAVING count(*) <> 1),
 markers AS (SELECT symbol, category, organ, canonical, specificity FROM
@@ -287,7 +285,7 @@ mc AS (SELECT l_partkey // 2 AS symbol, sample, sum(l_quantity) AS count FROM li
 ml AS (SELECT p_partkey // 2 AS symbol, avg(p_size) * 100.0 AS length FROM part GROUP BY 1),
 mr AS (SELECT symbol, sample, count / (length / 1000.0) AS rpk FROM mc JOIN ml USING (symbol)),
 tpm AS (SELECT symbol, sample, condition, rpk / (sum(rpk) OVER (PARTITION BY sample) / 1e6) AS tpm FROM mr JOIN design USING (sample)),
-means AS (SELECT symbol, sum(tpm) / (SELECT count(DISTINCT sample) FROM tpm WHERE condition = 'control') AS mean_tpm, max(tpm) AS max_tpm
+means AS (SELECT symbol, sum(tpm) / (SELECT count(*) FROM design WHERE condition = 'control') AS mean_tpm, max(tpm) AS max_tpm
   FROM tpm WHERE condition = 'control' GROUP BY 1)"""
 
 
@@ -305,9 +303,10 @@ def marker_specificity(spark, sf):
 @query("category_expression", f"""WITH {MARKERS}, {MARKER_TPM},
 j AS (SELECT DISTINCT category, symbol, sample, condition, tpm FROM markers JOIN tpm USING (symbol))
 SELECT category, symbol, sample, condition, {rs('tpm', 4)} AS tpm, {rs('log10(tpm)', 6)} AS tpm_log10, {rs('log2(tpm)', 6)} AS tpm_log2,
-  {rs('avg(tpm) OVER (PARTITION BY category)', 4)} AS mean_category_tpm FROM j""")
+  {rs('sum(tpm) OVER (PARTITION BY category) / (symbols * (SELECT count(*) FROM design))', 4)} AS mean_category_tpm
+  FROM j JOIN (SELECT category, count(DISTINCT symbol) AS symbols FROM j GROUP BY 1) USING (category)""")
 def category_expression(spark, sf):
-    out = M.category_expression(specific_markers(spark, sf), marker_tpm(spark, sf))
+    out = M.category_expression(specific_markers(spark, sf), marker_tpm(spark, sf), design(spark, sf))
     return out.select(
         "category", "symbol", "sample", "condition", r("tpm", 4).alias("tpm"), r("tpm_log10").alias("tpm_log10"),
         r("tpm_log2").alias("tpm_log2"), r("mean_category_tpm", 4).alias("mean_category_tpm"),
@@ -323,25 +322,32 @@ def markers_in_hits(spark, sf):
     return M.markers_in_hits(specific_markers(spark, sf), hits)
 
 
-ANCHOR = 11
+ANCHOR = """anchor AS (SELECT coalesce(min(tpm), 0.0) AS m FROM tpm WHERE symbol = (SELECT min(symbol) FROM
+  (SELECT symbol FROM tpm GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM design))))"""
 
 
-@query("high_abundance_anchor", f"""WITH {MARKER_TPM}, anchor AS (SELECT min(tpm) AS m FROM tpm WHERE symbol = {ANCHOR})
+def anchor_of(values, spark, sf):
+    """Smallest value of an anchor that every sample has; zero when there is none."""
+    samples_ = design(spark, sf)
+    return F.coalesce(M.anchor_minimum(values, M.complete_symbol(values, samples_), samples_), F.lit(0.0))
+
+
+@query("high_abundance_anchor", f"""WITH {MARKER_TPM}, {ANCHOR}
 SELECT 'fixed' AS variant, symbol, {rs('mean_tpm', 4)} AS mean_tpm FROM means WHERE max_tpm >= 4000.0
 UNION ALL SELECT 'any', symbol, {rs('mean_tpm', 4)} FROM means WHERE max_tpm >= (SELECT m FROM anchor)
 UNION ALL SELECT 'mean', symbol, {rs('mean_tpm', 4)} FROM means WHERE mean_tpm >= (SELECT m FROM anchor)""")
 def high_abundance_anchor(spark, sf):
     values = cut_lineage(marker_tpm(spark, sf))
-    anchor = M.anchor_minimum(values, ANCHOR)
+    anchor, groups = anchor_of(values, spark, sf), design(spark, sf)
     parts = {
-        "fixed": M.high_in_any_sample(values, CONTROL, 4000.0),
-        "any": M.high_in_any_sample(values, CONTROL, anchor),
-        "mean": M.high_on_average(values, CONTROL, anchor),
+        "fixed": M.high_in_any_sample(values, CONTROL, 4000.0, groups),
+        "any": M.high_in_any_sample(values, CONTROL, anchor, groups),
+        "mean": M.high_on_average(values, CONTROL, anchor, groups),
     }
     return stack(*[t.select(F.lit(n).alias("variant"), "symbol", r("mean_tpm", 4).alias("mean_tpm")) for n, t in parts.items()])
 
 
-@query("evidence_matrix", f"""WITH {MARKERS}, {MARKER_TPM}, anchor AS (SELECT min(tpm) AS m FROM tpm WHERE symbol = {ANCHOR}),
+@query("evidence_matrix", f"""WITH {MARKERS}, {MARKER_TPM}, {ANCHOR},
 high AS (SELECT symbol, true AS high_abundance FROM means WHERE mean_tpm >= (SELECT m FROM anchor)),
 d AS (SELECT DISTINCT symbol, true AS database_marker FROM db WHERE category = 'SMALL' AND contains(species, 'Mm')),
 c AS (SELECT DISTINCT symbol, true AS curated_marker FROM curated WHERE category = 'SMALL')
@@ -350,12 +356,12 @@ SELECT symbol, round_even(mean_tpm, 0) AS mean_tpm, coalesce(high_abundance, fal
 FROM high FULL JOIN d USING (symbol) FULL JOIN c USING (symbol) JOIN means USING (symbol)""")
 def evidence_matrix(spark, sf):
     values = cut_lineage(marker_tpm(spark, sf))
-    high = M.high_on_average(values, CONTROL, M.anchor_minimum(values, ANCHOR))
+    high = M.high_on_average(values, CONTROL, anchor_of(values, spark, sf), design(spark, sf))
     lists = {
         "database_marker": marker_database(spark, sf).filter((F.col("category") == "SMALL") & F.col("species").contains("Mm")),
         "curated_marker": curated_markers(spark, sf).filter(F.col("category") == "SMALL"),
     }
-    out = M.evidence_matrix(high, lists, M.group_means(values, CONTROL).select("symbol", "mean_tpm"))
+    out = M.evidence_matrix(high, lists, M.group_means(values, CONTROL, design(spark, sf)).select("symbol", "mean_tpm"))
     return M.top_label(out.withColumn("__s", F.col("symbol").cast("string")), "__s", ["11", "12", "13"]).drop("__s")
 
 

@@ -1,4 +1,4 @@
-"""Queries on the interaction graph (parts and suppliers in one id space) and on its clusters."""
+"""Queries on the interaction graph (parts that share an order) and on its clusters."""
 
 from __future__ import annotations
 
@@ -10,25 +10,30 @@ from ..session import cut_lineage
 from .base import CONTROL, GENES, PART_RESULTS, TREATED, design, part_counts, part_results, query, r, rs, symbol_col, table
 from ..operators import counts as C
 
-STRONG = 900
+STRONG = 400
 PRUNE = 1e-3
 
 
 def links(spark, sf):
-    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), (F.col("l_quantity") * 20).alias("score"))
+    """Pairs of lines of an order; the score follows the smaller quantity. An order has few lines."""
+    li = table(spark, sf, "lineitem")
+    one = li.select("l_orderkey", F.col("l_linenumber").alias("n1"), F.col("l_partkey").alias("src"), F.col("l_quantity").alias("q1"))
+    two = li.select("l_orderkey", F.col("l_linenumber").alias("n2"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("q2"))
+    return one.join(two, "l_orderkey").filter("n1 < n2").select("src", "dst", (F.least("q1", "q2") * 20).alias("score"))
 
 
-LINKS = "links AS (SELECT l_partkey AS src, l_suppkey AS dst, l_quantity * 20 AS score FROM lineitem)"
+LINKS = """links AS (SELECT x.l_partkey AS src, y.l_partkey AS dst, least(x.l_quantity, y.l_quantity) * 20 AS score
+  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber)"""
 
 
 def vertices(spark, sf):
     part = table(spark, sf, "part")
-    items = part.filter("p_size <= 30").select(symbol_col().alias("alias")).distinct()
-    return G.map_to_vertices(items, part.select(symbol_col().alias("alias"), F.col("p_partkey").alias("vertex")))
+    items = part.select(symbol_col().alias("alias")).distinct()
+    known = part.filter("p_partkey % 7 <> 0")  # the bridge knows only some parts
+    return G.map_to_vertices(items, known.select(symbol_col().alias("alias"), F.col("p_partkey").alias("vertex")))
 
 
-VERTICES = f"""{GENES}, vertices AS (SELECT symbol AS alias, min(id) AS vertex FROM genes
-  WHERE symbol IN (SELECT symbol FROM genes WHERE p_size <= 30) GROUP BY 1)"""
+VERTICES = f"""{GENES}, vertices AS (SELECT symbol AS alias, min(id) AS vertex FROM genes WHERE id % 7 <> 0 GROUP BY 1)"""
 
 
 @query("map_to_vertices", f"WITH {VERTICES} SELECT alias, vertex FROM vertices")
@@ -91,13 +96,12 @@ def markov_cluster(spark, sf):
 PHRASES = ["Genes annotated with", "(mouse)"]
 
 
-@query("node_annotation", """WITH m AS (SELECT DISTINCT l_partkey AS node, l_returnflag || ' ' || l_linestatus AS name FROM lineitem WHERE l_quantity >= 45)
-SELECT p_partkey AS node, set_names FROM part LEFT JOIN (SELECT node, string_agg(name, ', ' ORDER BY name) AS set_names FROM m GROUP BY 1) ON node = p_partkey
-WHERE p_size <= 20""")
+@query("node_annotation", """WITH m AS (SELECT DISTINCT l_partkey AS node, l_returnflag || ' ' || l_linestatus AS name FROM lineitem WHERE l_partkey % 5 <> 0)
+SELECT p_partkey AS node, set_names FROM part LEFT JOIN (SELECT node, string_agg(name, ', ' ORDER BY name) AS set_names FROM m GROUP BY 1) ON node = p_partkey""")
 def node_annotation(spark, sf):
     name = F.concat(F.lit("Genes annotated with  "), "l_returnflag", F.lit(" (mouse) "), "l_linestatus")
-    member = table(spark, sf, "lineitem").filter("l_quantity >= 45").select(F.col("l_partkey").alias("node"), name.alias("name"))
-    nodes = table(spark, sf, "part").filter("p_size <= 20").select(F.col("p_partkey").alias("node"))
+    member = table(spark, sf, "lineitem").filter("l_partkey % 5 <> 0").select(F.col("l_partkey").alias("node"), name.alias("name"))
+    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
     return G.node_annotation(nodes, member, PHRASES)
 
 

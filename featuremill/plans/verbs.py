@@ -14,17 +14,17 @@ from ..operators import reshape as R
 from ..operators import setops as S
 from .base import query, r, rs, table
 
-# Supplier and customer sides share a nullable key.
-SIDES = """l AS (SELECT c_custkey AS id, nullif(c_nationkey, 3) AS k, c_mktsegment AS seg FROM customer WHERE c_acctbal < 0),
-rt AS (SELECT s_suppkey AS sid, nullif(s_nationkey, 3) AS k, s_acctbal AS bal FROM supplier WHERE s_acctbal > 5000)"""
+# Supplier and customer sides share a nullable key; nation 4 has another key on the right, so that either side has rows without a match.
+SIDES = """l AS (SELECT c_custkey AS id, nullif(c_nationkey, 3) AS k, c_mktsegment AS seg FROM customer),
+rt AS (SELECT s_suppkey AS sid, CASE WHEN s_nationkey = 4 THEN 104 ELSE nullif(s_nationkey, 3) END AS k, s_acctbal AS bal FROM supplier)"""
 
 
 def _sides(spark, sf):
-    left = table(spark, sf, "customer").filter("c_acctbal < 0").select(
+    left = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"), N.value_to_null(F.col("c_nationkey"), 3).alias("k"), F.col("c_mktsegment").alias("seg")
     )
-    right = table(spark, sf, "supplier").filter("s_acctbal > 5000").select(
-        F.col("s_suppkey").alias("sid"), N.value_to_null(F.col("s_nationkey"), 3).alias("k"), F.col("s_acctbal").alias("bal")
+    right = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("sid"), F.when(F.col("s_nationkey") == 4, 104).otherwise(N.value_to_null(F.col("s_nationkey"), 3)).alias("k"), F.col("s_acctbal").alias("bal")
     )
     return left, right
 
@@ -52,9 +52,9 @@ def nullsafe_semi_anti(spark, sf):
 
 
 @query("left_and_renamed", f"""WITH {SIDES} SELECT o.o_orderkey, c.c_custkey AS id, c.c_mktsegment AS o_orderstatus_y, o.o_orderstatus
-FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey""")
+FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) c ON o.o_custkey = c.c_custkey""")
 def left_and_renamed(spark, sf):
-    right = table(spark, sf, "customer").filter("c_acctbal > 0").select(
+    right = table(spark, sf, "customer").filter("c_custkey % 5 <> 0").select(
         "c_custkey", F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("o_orderstatus")
     )
     out = J.join_renamed(table(spark, sf, "orders"), right, {"o_custkey": "c_custkey"}, "left")
@@ -70,10 +70,10 @@ def first_match_join(spark, sf):
 
 
 @query("multi_key_join", """SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem JOIN
-(SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R') USING (l_orderkey, l_linenumber) GROUP BY 1, 2""")
+(SELECT l_orderkey, l_linenumber + 1 AS l_linenumber FROM lineitem) USING (l_orderkey, l_linenumber) GROUP BY 1, 2""")
 def multi_key_join(spark, sf):
     li = table(spark, sf, "lineitem")
-    right = li.filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber")
+    right = li.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"))
     return A.count_rows(li.select("l_orderkey", "l_linenumber").join(right, ["l_orderkey", "l_linenumber"]), "l_orderkey", "l_linenumber")
 
 
@@ -222,23 +222,22 @@ def dates(spark, sf):
     )
 
 
-@query("reshape_round_trip", """SELECT p_brand AS row_key, p_type AS level, sum(p_size)::BIGINT AS total FROM part WHERE p_type IN ('PROMO', 'SMALL') GROUP BY 1, 2""")
+TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+
+
+@query("reshape_round_trip", """SELECT p_brand AS row_key, p_type AS level, sum(p_size)::BIGINT AS total FROM part GROUP BY 1, 2""")
 def reshape_round_trip(spark, sf):
     sums = table(spark, sf, "part").groupBy(F.col("p_brand").alias("row_key"), "p_type").agg(F.sum("p_size").alias("v"))
-    wide = R.to_wide(sums, ["row_key"], "p_type", "v", ["PROMO", "SMALL"])
-    return R.to_long(wide, ["row_key"], ["PROMO", "SMALL"], "level", "total").filter("total IS NOT NULL")
+    wide = R.to_wide(sums, ["row_key"], "p_type", "v", TYPES)
+    return R.to_long(wide, ["row_key"], TYPES, "level", "total").filter("total IS NOT NULL")
 
 
-@query("transpose", """SELECT 'PROMO' AS "column", max(CASE WHEN b = 'Brand#1' THEN p END) AS b1, max(CASE WHEN b = 'Brand#2' THEN p END) AS b2 FROM
-(SELECT p_brand AS b, count(*) FILTER (WHERE p_type = 'PROMO') AS p FROM part GROUP BY 1)
-UNION ALL SELECT 'SMALL', max(CASE WHEN b = 'Brand#1' THEN s END), max(CASE WHEN b = 'Brand#2' THEN s END) FROM
-(SELECT p_brand AS b, count(*) FILTER (WHERE p_type = 'SMALL') AS s FROM part GROUP BY 1)""")
+@query("transpose", "SELECT p_type AS \"column\", " + ", ".join(f"count(*) FILTER (WHERE p_brand = '{b}') AS b{i}" for i, b in enumerate(BRANDS, 1)) + " FROM part GROUP BY 1")
 def transpose(spark, sf):
-    wide = table(spark, sf, "part").groupBy("p_brand").agg(
-        F.count_if(F.col("p_type") == "PROMO").alias("PROMO"), F.count_if(F.col("p_type") == "SMALL").alias("SMALL")
-    )
-    out = R.transpose(wide, "p_brand", ["PROMO", "SMALL"], ["Brand#1", "Brand#2"])
-    return out.select("column", F.col("`Brand#1`").alias("b1"), F.col("`Brand#2`").alias("b2"))
+    wide = table(spark, sf, "part").groupBy("p_brand").agg(*[F.count_if(F.col("p_type") == t).alias(t) for t in TYPES])
+    out = R.transpose(wide, "p_brand", TYPES, BRANDS)
+    return out.select("column", *[F.coalesce(F.col(f"`{b}`"), F.lit(0)).alias(f"b{i}") for i, b in enumerate(BRANDS, 1)])
 
 
 @query("split_and_unite", """SELECT p_partkey, split_part(p_name, ' ', 1) AS adjective, split_part(p_name, ' ', 2) AS noun,

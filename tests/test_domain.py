@@ -123,7 +123,7 @@ def test_enrichment_and_correction_match_brute_force(spark):
 def test_page_rank_matches_dense_solution(spark):
     links = [("a", "b"), ("a", "c"), ("b", "c"), ("d", "c"), ("c", "a")]
     nodes = spark.createDataFrame([(x,) for x in "abcde"], "node string")
-    got = {r.node: r["rank"] for r in E.page_rank(nodes, spark.createDataFrame(links, "src string, dst string"), rounds=60).collect()}
+    got = {r.node: r["rank"] for r in E.page_rank(nodes, spark.createDataFrame(links, "src string, dst string")).collect()}
     ix = {x: i for i, x in enumerate("abcde")}
     m = np.zeros((5, 5))
     for s, d in links:
