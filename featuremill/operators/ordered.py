@@ -152,6 +152,18 @@ def top_and_rest(df: DataFrame, value: str, k: int, largest: bool = True) -> tup
     return stored.filter(hit), stored.filter(~F.coalesce(hit, F.lit(False)))
 
 
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows of a stated order; each task keeps n, and the merge keeps n."""
+    return df.orderBy(*_directed(order, False)).limit(n)
+
+
+def unequal_positions(left: DataFrame, right: DataFrame, col: str, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """(rank, left, right) where two columns, each in its own order, differ; a shorter one differs at its end."""
+    a = row_rank(left, left_order, "rank").select("rank", F.col(col).alias("left"))
+    b = row_rank(right, right_order, "rank").select("rank", F.col(col).alias("right"))
+    return a.join(b, "rank", "full").filter(~F.col("left").eqNullSafe(F.col("right")))
+
+
 def top_with_ties(df: DataFrame, value: str, k: int, largest: bool = True) -> DataFrame:
     return top_and_rest(df, value, k, largest)[0]
 

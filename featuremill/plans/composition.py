@@ -20,7 +20,7 @@ TIPS = {
 }
 BRANCHES = [[], ["Neu5Ac(a2-6)"], ["Gal(b1-4)", "GlcNAc(b1-6)"], ["Fuc(a1-2)", "Gal(b1-4)", "GlcNAc(b1-6)"]]
 RESIDUES = {"hex": "Gal\\(", "hexnac": "(GlcNAc|GalNAc)", "fucose": "Fuc", "neu5ac": "Neu5Ac"}
-CARRIER = r"Terminal_Fuc\(a...\)Gal\(b...\)GlcNAc"
+CARRIER = r"Terminal_Neu5Ac\(a2-.\)Gal"
 
 
 def structures(spark, sf):
@@ -233,6 +233,25 @@ def differential_abundance(spark, sf):
     return out.select("motif", "n1", "n2", r("t").alias("t"), r("dof", 5).alias("dof"), r("effect").alias("effect"), r("p", 7).alias("p"), r("padj", 7).alias("padj"))
 
 
+COHORT = "CASE WHEN sample < 'NATION_2' THEN 'early' ELSE 'late' END"
+# The same test with the samples split another way: the design alone changes.
+BY_COHORT = DIFFERENTIAL.replace("grid AS (SELECT", f"cohorts AS (SELECT sample, {COHORT} AS cohort FROM design),\ngrid AS (SELECT").replace("d.condition, coalesce", "d.cohort AS condition, coalesce").replace("CROSS JOIN design d", "CROSS JOIN cohorts d")
+
+
+@query("differential_by_cohort", f"""WITH {BY_COHORT.replace("FILTER (WHERE condition = 'control')", "FILTER (WHERE condition = 'early')").replace("FILTER (WHERE condition = 'treated')", "FILTER (WHERE condition = 'late')")}
+SELECT motif, n1, n2, {rs('t', 6)} AS t, {rs('dof', 5)} AS dof, {rs('effect', 6)} AS effect, {rs('p', 7)} AS p, {rs('padj', 7)} AS padj FROM ({bh_sql('tp', 'p')})""")
+def differential_by_cohort(spark, sf):
+    cohort = F.when(F.col("sample") < "NATION_2", "early").otherwise("late")
+    split = design(spark, sf).select("sample", cohort.alias("cohort"))
+    out = K.differential_abundance(motif_shares(spark, sf), split, "motif", "abundance", "early", "late", group="cohort")
+    return out.select("motif", "n1", "n2", r("t").alias("t"), r("dof", 5).alias("dof"), r("effect").alias("effect"), r("p", 7).alias("p"), r("padj", 7).alias("padj"))
+
+
+@query("group_members", f"WITH {PART_COUNTS} SELECT sample FROM design WHERE condition = 'control'")
+def group_members(spark, sf):
+    return K.group_members(design(spark, sf), CONTROL)
+
+
 @query("top_motifs", f"""WITH {MOTIF_SHARES}, m AS (SELECT motif, sum(abundance) / (SELECT count(*) FROM design) AS mean FROM ms GROUP BY 1)
 SELECT motif, {rs('mean', 7)} AS mean FROM m QUALIFY rank() OVER (ORDER BY mean DESC) <= 10""")
 def top_motifs(spark, sf):

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = "\t", drop_blank: bool = True) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = "\t", drop_blank: bool = True, check_header: bool = False) -> DataFrame:
     """Delimited text with a header row. Columns take the schema's names; all-blank rows are rejected.
 
-    Compressed files (``.gz``, ``.bz2``, ``.zst``) are recognised by their suffix.
+    ``check_header`` fails on a header that does not name the columns in the schema's order. Cells that do not parse are missing;
+    :func:`bad_cells` counts them. Compressed files (``.gz``, ``.bz2``, ``.zst``) are recognised by their suffix.
     """
-    df = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).csv(path)
+    df = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", not check_header).csv(path)
     return df.na.drop("all") if drop_blank else df
 
 
+def bad_cells(spark: SparkSession, path: str, schema: T.StructType, sep: str = "\t") -> DataFrame:
+    """(column, bad): cells of each column that hold text which does not parse as the column's type."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    raw = spark.read.schema(text).option("sep", sep).option("header", True).csv(path)
+    counts = [F.struct(F.lit(f.name).alias("column"), F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias("bad")) for f in schema]
+    return raw.agg(F.array(*counts).alias("c")).select(F.inline("c"))
+
+
 def read_tsv_headerless(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = "\t") -> DataFrame:
     return spark.read.schema(schema).option("sep", sep).option("header", False).csv(path).na.drop("all")
 
@@ -39,12 +49,33 @@ def header_rows(spark: SparkSession, path: str, rows: int, sep: str = "\t") -> l
     return [line["value"].split(sep) for line in lines]
 
 
+def _without_header(head: list[str]):
+    """Drop the first lines of each file: they come first in the block at offset 0, which one task reads in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            value, keep = batch.column("value"), []
+            for i, (file, start) in enumerate(zip(batch.column("file").to_pylist(), batch.column("start").to_pylist())):
+                at = seen.get(file, 0)
+                if start == 0 and at < len(head):
+                    if value[i].as_py() != head[at]:
+                        raise ValueError(f"{file} has another header")
+                    seen[file] = at + 1
+                else:
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([value.take(pa.array(keep, pa.int64()))], ["value"])
+
+    return run
+
+
 def read_multi_header(
     spark: SparkSession, path: str, rows: int, name_from: Iterable, types: dict[str, str] | None = None, sep: str = "\t"
 ) -> DataFrame:
     """Table under several header rows. ``name_from`` is a function of one column's header cells.
 
-    The body is read as lines and split by executors; header lines are removed by content.
+    The body is read as lines and split by executors. Every file starts with the same header lines, which are dropped by their
+    place in the file; a file with another header fails the job.
     """
     head = header_rows(spark, path, rows, sep)
     width = max(len(r) for r in head)
@@ -53,7 +84,8 @@ def read_multi_header(
     if len(set(names)) != len(names):
         raise ValueError("header rows give repeated column names")
     raw = [sep.join(r) for r in head]
-    body = spark.read.text(path).filter(~F.col("value").isin(raw) & (F.regexp_replace("value", r"\s", "") != ""))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    body = lines.mapInArrow(_without_header(raw), "value string").filter(F.regexp_replace("value", r"\s", "") != "")
     parts = F.split("value", sep, -1)
     types = types or {}
     cols = []

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_tsv(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("sep", sep).option("header", True).csv(path)
+def write_tsv(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists", header: bool = True, compression: str = "none") -> None:
+    df.write.mode(mode).option("sep", sep).option("header", header).option("compression", compression).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -18,12 +18,14 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def finished(spark, path: str) -> bool:
+    """Whether a write to the folder has come to its end."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def reuse_or_build(df_builder, spark, path: str) -> DataFrame:
-    """Read a stored intermediate result, or build, store and read it back."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        write_table(df_builder(), path)
-        return spark.read.parquet(path)
+    """Read a stored intermediate result, or build, store and read it back. A half-written folder is built anew."""
+    if not finished(spark, path):
+        write_table(df_builder(), path, mode="overwrite")
+    return spark.read.parquet(path)
