@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import remove_first
 from .aggregate import count_rows
-from .joins import first_per_key, keep_in, keep_not_in, null_safe_join
+from .joins import first_per_key, keep_in, keep_not_in, null_safe_join, open_left_join
 from .ordered import row_rank
 from .setops import stack, two_way_difference
 
@@ -32,9 +32,10 @@ def reconcile_ids(items: DataFrame, legend: DataFrame, first_symbol_match: bool
     by_symbol = by_symbol.select(F.col("ext_symbol").alias("__k2"), F.struct("ext_id", "ext_symbol").alias("__m2"))
 
     step = items.join(pairs, ["id", "symbol"], "left")
-    step = step.withColumn("__k1", F.when(F.col("__both").isNull(), F.col("id"))).join(by_id, "__k1", "left")
+    step = step.withColumn("__k1", F.when(F.col("__both").isNull(), F.col("id")))
+    step = open_left_join(step, by_id, "__k1")
     open_row = F.col("__both").isNull() & F.col("__m1").isNull()
-    step = step.withColumn("__k2", F.when(open_row, F.col("symbol"))).join(by_symbol, "__k2", "left")
+    step = open_left_join(step.withColumn("__k2", F.when(open_row, F.col("symbol"))), by_symbol, "__k2")
     tier = (
         F.when(F.col("__both"), BOTH)
         .when(F.col("__m1").isNotNull(), ID_ONLY)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_phrases
 from ..session import cut_lineage
 from .aggregate import share_of_total, text_list, with_group_stats
-from .joins import first_per_key, null_safe_join
+from .joins import first_per_key, full_join, null_safe_join
 
 
 def map_to_vertices(items: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def hits_in_sets(hits: DataFrame, annotation: DataFrame, sets: DataFrame) -> Dat
 
 def cluster_annotation(sets: DataFrame, hits: DataFrame, clusters: DataFrame) -> DataFrame:
     """Full joins of hit sets and clusters on the gene, kept where a set is known."""
-    return null_safe_join(null_safe_join(hits, clusters, ["gene"], "full"), sets, ["term"], "full")
+    return full_join(full_join(hits, clusters, ["gene"]), sets, ["term"])
 
 
 def cluster_profile(table: DataFrame, sep: str = "\n") -> DataFrame:

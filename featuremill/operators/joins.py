@@ -29,6 +29,22 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return joined.drop("__in_right", "__in_left", *[f"__{k}" for k in keys])
 
 
+def open_left_join(left: DataFrame, right: DataFrame, key: str, spread: int = 256) -> DataFrame:
+    """Left join in which a missing key matches nothing. Rows without a key are spread over ``spread`` key values that the
+    right side lacks, so that they do not meet in one task."""
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*left.columns), F.lit(spread)) + 1).otherwise(F.lit(0).cast("long"))
+    return left.withColumn("__salt", salt).join(right.withColumn("__salt", F.lit(0).cast("long")), [key, "__salt"], "left").drop("__salt")
+
+
+def full_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Full join on null-safe keys as a left join and the rows of the right side that it misses.
+
+    Spark can split the partitions of hot keys in both, which it cannot in a full join.
+    """
+    alone = null_safe_join(right, left.select(*keys), keys, "left_anti")
+    return null_safe_join(left, right, keys, "left").unionByName(alone, allowMissingColumns=True)
+
+
 def keep_in(df: DataFrame, col: str, other: DataFrame, other_col: str) -> DataFrame:
     """Rows whose value occurs in the other table's column; a missing value matches a missing value."""
     return null_safe_join(df, other.select(F.col(other_col).alias(col)), [col], "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import log2_inf, log10_inf
 from ..functions.nulls import not_in_constants
 from .aggregate import count_rows
-from .joins import keep_in, keep_not_in, null_safe_join
+from .joins import full_join, keep_in, keep_not_in, null_safe_join
 from .ordered import top_with_ties
 
 _PAIR = ["symbol", "category", "organ"]
@@ -16,7 +16,7 @@ _PAIR = ["symbol", "category", "organ"]
 
 def ambiguous_markers(database: DataFrame, curated: DataFrame, categories: list[str], exempt: list[str]) -> DataFrame:
     """Symbols that mark other than exactly one row among the wanted categories of both sources."""
-    both = null_safe_join(database, curated, _PAIR, "full")
+    both = full_join(database, curated, _PAIR)
     return (
         count_rows(both.filter(not_in_constants(F.col("symbol"), exempt) & F.col("category").isin(categories)), "symbol")
         .filter(F.col("n") != 1)
@@ -36,7 +36,7 @@ def specific_markers(
     kept = database.filter(
         (F.col("canonical") == 1) & ~(F.col("specificity") > 0) & F.col("species").isin(species)
     )
-    merged = null_safe_join(kept, curated, _PAIR, "full")
+    merged = full_join(kept, curated, _PAIR)
     for symbol, category in drop_pairs:
         merged = merged.filter(~F.coalesce((F.col("symbol") == symbol) & (F.col("category") == category), F.lit(False)))
     merged = merged.filter(F.col("category").isin(categories))

@@ -32,7 +32,9 @@ def bh_adjust(df: DataFrame, p: str = "p", out: str = "padj", keys: list[str] |
     ranked = ranked.join(total, keys) if keys else ranked.withColumn("__total", total.scalar())
     raw = ranked.withColumn("__raw", F.col(p) * F.col("__total") / F.col("__rank"))
     adjusted = following_min(raw, keys, [p], "__raw", out).select(*keys, p, F.least(out, F.lit(1.0)).alias(out))
-    return df.join(adjusted, [*keys, p], "left")
+    # Rows without a p need no join, and would share one key in it.
+    none = df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return df.filter(F.col(p).isNotNull()).join(adjusted, [*keys, p], "left").select(*df.columns, out).unionByName(none)
 
 
 def weighted_bh(df: DataFrame, p: str, weight: str, out: str = "padj") -> DataFrame:

@@ -39,14 +39,14 @@ def _products(column: str, center: bool, scale: bool):
                 x = np.divide(x, sd, out=np.zeros_like(x), where=sd > 0)
             total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
-            n = len(total)
-            yield pd.DataFrame({"i": np.repeat(np.arange(n), n), "j": np.tile(np.arange(n), n), "value": total.ravel()})
+            i, j = np.triu_indices(len(total))
+            yield pd.DataFrame({"i": i, "j": j, "value": total[i, j]})
 
     return run
 
 
 def product_matrix(vectors: DataFrame, column: str, center: bool = False, scale: bool = False) -> DataFrame:
-    """Sum over rows of the outer product of ``column`` with itself, as (i, j, value)."""
+    """Sum over rows of the outer product of ``column`` with itself, as (i, j, value) with i <= j."""
     return (
         vectors.select(column)
         .mapInPandas(_products(column, center, scale), "i int, j int, value double")
@@ -60,7 +60,7 @@ def _components(k: int):
         n = int(pdf["i"].max()) + 1
         m = np.zeros((n, n))
         m[pdf["i"], pdf["j"]] = pdf["value"]
-        values, vectors = np.linalg.eigh((m + m.T) / 2.0)
+        values, vectors = np.linalg.eigh(np.triu(m) + np.triu(m, 1).T)
         order = np.argsort(values)[::-1][:k]
         lam = np.maximum(values[order], 0.0)
         v = vectors[:, order]
@@ -132,8 +132,11 @@ def explained_variance(scores: DataFrame) -> DataFrame:
 
 
 def pairwise_distance(long: DataFrame, samples: DataFrame, value: str) -> DataFrame:
-    """Euclidean distance of every pair of samples (a < b), read off the product matrix."""
-    products = product_matrix(feature_vectors(long, samples, value, "x"), "x")
+    """Euclidean distance of every pair of samples (a < b), read off the product matrix.
+
+    Features are centred over the samples first, which leaves distances as they are and keeps their digits.
+    """
+    products = product_matrix(feature_vectors(long, samples, value, "x"), "x", center=True)
     norms = products.filter(F.col("i") == F.col("j")).select(F.col("i").alias("n"), F.col("value").alias("norm"))
     order = sample_order(samples)
     pairs = (

@@ -1,4 +1,4 @@
-"""Queries on the interaction graph (parts that share an order) and on its clusters."""
+"""Queries on the interaction graph (parts on neighbouring lines of an order) and on its clusters."""
 
 from __future__ import annotations
 
@@ -15,15 +15,15 @@ PRUNE = 1e-3
 
 
 def links(spark, sf):
-    """Pairs of lines of an order; the score follows the smaller quantity. An order has few lines."""
+    """Parts on neighbouring lines of an order; the score follows the smaller quantity."""
     li = table(spark, sf, "lineitem")
-    one = li.select("l_orderkey", F.col("l_linenumber").alias("n1"), F.col("l_partkey").alias("src"), F.col("l_quantity").alias("q1"))
-    two = li.select("l_orderkey", F.col("l_linenumber").alias("n2"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("q2"))
-    return one.join(two, "l_orderkey").filter("n1 < n2").select("src", "dst", (F.least("q1", "q2") * 20).alias("score"))
+    one = li.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("src"), F.col("l_quantity").alias("q1"))
+    two = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("line"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("q2"))
+    return one.join(two, ["l_orderkey", "line"]).select("src", "dst", (F.least("q1", "q2") * 20).alias("score"))
 
 
 LINKS = """links AS (SELECT x.l_partkey AS src, y.l_partkey AS dst, least(x.l_quantity, y.l_quantity) * 20 AS score
-  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber)"""
+  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1)"""
 
 
 def vertices(spark, sf):

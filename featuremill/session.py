@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: tempfile.TemporaryDirectory | None = None
+_swept: set[str] = set()
 
 
 def local_session(cores: int | str = "*", app: str = "featuremill", shuffle_partitions: int = 8) -> SparkSession:
@@ -28,12 +29,19 @@ def local_session(cores: int | str = "*", app: str = "featuremill", shuffle_part
 def stage_folder(spark: SparkSession) -> str:
     """Folder for stored intermediates: below the shared folder named in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder, removed when Python exits.
+    The application's part of it is removed when the driver ends. Only a local session without that setting gets a temporary folder, removed when Python exits.
     """
     global _local_folder
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
-        return f"{shared.rstrip('/')}/featuremill-{spark.sparkContext.applicationId}"
+        folder = f"{shared.rstrip('/')}/featuremill-{spark.sparkContext.applicationId}"
+        if folder not in _swept:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            files.mkdirs(path)
+            files.deleteOnExit(path)
+            _swept.add(folder)
+        return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if _local_folder is None:
