@@ -33,7 +33,8 @@ def open_left_join(left: DataFrame, right: DataFrame, key: str, spread: int = 25
     """Left join in which a missing key matches nothing. Rows without a key are spread over ``spread`` key values that the
     right side lacks, so that they do not meet in one task."""
     salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*left.columns), F.lit(spread)) + 1).otherwise(F.lit(0).cast("long"))
-    return left.withColumn("__salt", salt).join(right.withColumn("__salt", F.lit(0).cast("long")), [key, "__salt"], "left").drop("__salt")
+    zero = F.pmod(F.xxhash64(key), F.lit(1))  # always 0; a literal would be folded out of the join keys
+    return left.withColumn("__salt", salt).join(right.withColumn("__salt", zero), [key, "__salt"], "left").drop("__salt")
 
 
 def full_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
