@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -9,7 +12,6 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,30 +20,62 @@ from tokenizers import Tokenizer
 from ..session import cut_lineage
 from .batches import slices
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
+
 LENGTH, OPEN, FAN_IN, END = 2048, 64, 32, 1
-_KNOWN = 200_000
+_KNOWN = 220_000
+
+
+# White space as the tokenizer's pattern sees it.
+_WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-class _Ids(dict):
-    """Ids of each piece of text as little-endian bytes, encoded when first met."""
+class _Ids:
+    """Ids of texts as little-endian bytes. The ids of words are kept for as long as the words keep coming."""
 
     def __init__(self, vocabulary: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        """Ids of a whole text: the tokenizer never merges over the bounds of its pattern's pieces, so each different piece is encoded once."""
-        if len(self) > _KNOWN:
-            self.clear()
-        return b"".join(map(self.__getitem__, self.split(text)))
+        self.split = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
+        self.joins = re.compile(f"[{_WHITE}].*[^{_WHITE}]", re.DOTALL).fullmatch
+        # The vocabulary spells each byte as one character.
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts.
+
+        A word goes with the white space before it. The tokenizer cuts a text by a pattern none of whose pieces goes on from another
+        character to white space, and never merges over the cuts, so the ids of a text are those of its words, and each different
+        word of the texts is encoded once.
+        """
+        cut = [self.split(t) for t in texts]
+        young, old = self.young, self.old
+        new = set().union(*cut) - young.keys()
+        for word in new & old.keys():
+            young[word] = old[word]
+        self.add(new - old.keys())
+        out = [b"".join(map(young.__getitem__, words)) for words in cut]
+        if len(young) > _KNOWN:
+            self.old, self.young = young, {}
+        return out
+
+
+    def add(self, words: set[str]) -> None:
+        """Encode new words. Those that begin with white space and end with another character make one text when laid end to end;
+        its ids fall apart into theirs where the bytes do."""
+        chain, rest = [], []
+        for word in words:
+            (chain if self.joins(word) else rest).append(word)
+        young, encode = self.young, self.tokenizer.encode_batch_fast
+        young.update(zip(rest, [array("I", e.ids).tobytes() for e in encode(rest, add_special_tokens=False)]))
+        ids = np.array(encode(["".join(chain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(w.encode("utf-8", "replace")) for w in chain])) + 1
+        data, start = ids.tobytes(), 0
+        for word, end in zip(chain, (4 * ends).tolist()):
+            young[word] = data[start:end]
+            start = end
 
 
 @cache
@@ -119,9 +153,10 @@ def _pack(vocabulary: str, length: int, limit: int, end: int, id_type: pa.DataTy
         ids_of, last = encoder(vocabulary).of, np.array([end], "<u4").tobytes()
         out, windows = _Out(_schema(id_type), 0, TaskContext.get().partitionId()), Windows(length, limit)
         for whole in batches:
-            for part in slices(whole, "text"):
-                for id_, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = ids_of(text or "") + last
+            for part in slices(whole, "text", 1 << 20):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for id_, ids in zip(part.column(0).to_pylist(), ids_of(texts)):
+                    ids += last
                     total = len(ids) // 4
                     for start in range(0, total, length):
                         piece = (id_, start, total, ids[4 * start : 4 * (start + length)])

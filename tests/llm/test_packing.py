@@ -69,12 +69,21 @@ def test_windows_best_fit_and_closing():
 @settings(max_examples=300, deadline=None)
 @given(st.text())
 def test_pieces_give_the_ids_of_the_whole(text):
-    assert np.frombuffer(P.encoder(public_tokenizers.path("byte_bpe_50k.json")).of(text), "<u4").tolist() == ids_of(text)[:-1]
+    assert np.frombuffer(P.encoder(public_tokenizers.path("byte_bpe_50k.json")).of([text])[0], "<u4").tolist() == ids_of(text)[:-1]
 
 
 @pytest.mark.parametrize("text", ["a  b   c\n\n d\t\te ", "it's we'LL  don't", "\x1c\x1d x\u0085y z w​", " 12³ ½ ９", "<|endoftext|>x<|endoftext|>", "ȩ́a", "　　あ  い"])
 def test_odd_white_space(text):
-    assert np.frombuffer(P.encoder(public_tokenizers.path("byte_bpe_50k.json")).of(text), "<u4").tolist() == ids_of(text)[:-1]
+    assert np.frombuffer(P.encoder(public_tokenizers.path("byte_bpe_50k.json")).of([text])[0], "<u4").tolist() == ids_of(text)[:-1]
+
+
+def test_every_kind_of_white_space_in_every_place(monkeypatch):
+    monkeypatch.setattr(P, "_KNOWN", 50)
+    white = [chr(c) for c in range(0x10000) if chr(c).isspace()] + ["\u180e", "\u200b", "\ufeff", "\x00"]
+    texts = [f"{a}x!{a}{b}y{b}{b}!!{a}{b}{a} 1{b}" for a in white for b in (" ", "\n", "\t", "\xa0", "\x1c")]
+    ids = P.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [np.frombuffer(i, "<u4").tolist() for i in ids.of(texts)] == [ids_of(t)[:-1] for t in texts]
+    assert [i for t in texts for i in ids.of([t])] == ids.of(texts)
 
 
 def test_awkward_and_empty(spark):
