@@ -14,12 +14,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import null_safe_join
 from ..session import cut_lineage, stage_folder
 
 CHUNK = 1 << 20
 #: A writing task starts a new file beyond this many compressed bytes, so that reading has enough tasks.
 FILE_BYTES = 64 << 20
+MOST_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 
@@ -34,19 +34,20 @@ def _base32(sha1) -> str:
 def chunks_of(rows: DataFrame, id: str, payload: str, url: str, size: int = CHUNK) -> DataFrame:
     """(record_id, row, chunk_no, data): the payload's UTF-8 bytes in runs of ``size``; at least one chunk, null as empty.
 
-    ``row`` tells rows that repeat an id apart by their content. The chunks of a record leave in order and side by side.
+    ``row`` names the record: its id and a hash of its content, which tells rows that repeat an id apart. The chunks of a record
+    leave in order and side by side.
     """
     data = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("data") / size)).cast("int")
     return (
-        rows.select(F.col(id).cast("long").alias("record_id"), row_hash(url, payload), data.alias("data"))
+        rows.select(F.col(id).cast("long").alias("record_id"), row_name(id, url, payload), data.alias("data"))
         .select("record_id", "row", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"), "data")
         .select("record_id", "row", "chunk_no", F.substring(F.col("data"), F.col("chunk_no") * size + 1, F.lit(size)).alias("data"))
     )
 
 
-def row_hash(url: str, payload: str) -> Column:
-    return F.xxhash64(url, payload).alias("row")
+def row_name(id: str, url: str, payload: str) -> Column:
+    return F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("")), F.hex(F.xxhash64(url, payload))).alias("row")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,17 +69,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([dict(zip(_DIGESTS.names, (*seen, n, _base32(sha))))], schema=_DIGESTS)
 
 
-_DIGESTS = pa.schema([("record_id", pa.int64()), ("row", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+_DIGESTS = pa.schema([("record_id", pa.int64()), ("row", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 
 
 def digests(chunks: DataFrame) -> DataFrame:
     """(record_id, row, payload_bytes, payload_digest) from chunks that lie in order: one pass, one chunk in memory."""
-    return chunks.mapInArrow(_digest, "record_id long, row long, payload_bytes long, payload_digest string")
+    return chunks.mapInArrow(_digest, "record_id long, row string, payload_bytes long, payload_digest string")
 
 
 def in_order(chunks: DataFrame) -> DataFrame:
     """Chunks of a table in any order, brought together by record. A record's chunks are streamed by one task, never held."""
-    return chunks.repartition("record_id", "row").sortWithinPartitions("record_id", "row", "chunk_no")
+    return chunks.repartition("row").sortWithinPartitions("row", "chunk_no")
 
 
 # Which record holds a payload -----------------------------------------------------------------
@@ -101,8 +102,8 @@ def plan_revisits(digested: DataFrame, least: int = 0) -> DataFrame:
 # Files ----------------------------------------------------------------------------------------
 
 
-def _urn(record: int | None, row: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{record} {row}')}>"
+def _urn(row: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, row)}>"
 
 
 class _Archive:
@@ -146,11 +147,11 @@ def _headers(r: dict) -> tuple[list[tuple[str, str]], bytes]:
     uri = "".join(c if c > " " else f"%{ord(c):02X}" for c in r["url"] or "")
     number = lambda x: "" if x is None else str(x)
     out = [
-        ("WARC-Type", "revisit" if r["revisit"] else "response"), ("WARC-Record-ID", _urn(r["record_id"], r["row"])), ("WARC-Date", DATE), ("WARC-Target-URI", uri),
+        ("WARC-Type", "revisit" if r["revisit"] else "response"), ("WARC-Record-ID", _urn(r["row"])), ("WARC-Date", DATE), ("WARC-Target-URI", uri),
         ("X-Record-Number", number(r["record_id"])), ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"), ("Content-Type", "application/http; msgtype=response"),
     ]
     if r["revisit"]:
-        out += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(r["refers_record_id"], r["refers_row"])), ("X-Refers-To-Number", number(r["refers_record_id"]))]
+        out += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(r["refers_row"])), ("X-Refers-To-Number", number(r["refers_record_id"]))]
     out.append(("Content-Length", str(len(block) + (0 if r["revisit"] else r["payload_bytes"]))))
     return out, block
 
@@ -162,7 +163,7 @@ def _write(folder: str, file_bytes: int):
         for batch in batches:
             fields = batch.drop_columns(["data"])
             for r, data in zip(fields.to_pylist(), batch.column("data")):
-                here = (r["record_id"], r["row"], r["chunk_no"])
+                here = (r["row"], r["chunk_no"])
                 if here == before:
                     continue  # a row that repeats another in every column
                 before = here
@@ -196,9 +197,10 @@ def write_archives(chunks: DataFrame, records: DataFrame, folder: str, file_byte
     uri = folder if "://" in folder else f"file://{folder}" if folder.startswith("/") else folder.replace("file:/", "file:///", 1)
     fs, base = pafs.FileSystem.from_uri(uri)
     fs.create_dir(base, recursive=True)
-    told = null_safe_join(chunks, records, ["record_id", "row"]).filter("chunk_no = 0 or not revisit")
+    # The join finds the chunks dealt by record, so payloads are shuffled once and a record stays in one task.
+    told = chunks.repartition("row").join(records.drop("record_id"), "row").filter("chunk_no = 0 or not revisit")
     told = told.withColumn("data", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("data")))
-    return cut_lineage(in_order(told).mapInArrow(_write(uri, file_bytes), "file string"))
+    return cut_lineage(told.sortWithinPartitions("row", "chunk_no").mapInArrow(_write(uri, file_bytes), "file string"))
 
 
 class _Reader:
@@ -294,7 +296,8 @@ def read_archives(spark: SparkSession, folder: str, chunk: int = CHUNK, with_dat
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
     uri = F.regexp_replace("path", "^file:/+", "file:///")
-    return files.select(uri.alias("path")).repartition("path").mapInArrow(_read(chunk, with_data), _READ_SQL)
+    tasks = max(1, min(files.count(), MOST_TASKS))  # stated, or the few bytes of the names would be merged into one task
+    return files.select(uri.alias("path")).repartition(tasks, "path").mapInArrow(_read(chunk, with_data), _READ_SQL)
 
 
 def archive_folder(spark: SparkSession) -> str:
@@ -310,8 +313,8 @@ def archive(pages: DataFrame, folder: str, id: str = "page_id", payload: str = "
     """
     chunks = chunks_of(pages, id, payload, url, chunk)
     records = plan_revisits(cut_lineage(digests(chunks).distinct()), least)
-    urls = pages.select(F.col(id).cast("long").alias("record_id"), row_hash(url, payload), F.col(url).alias("url")).distinct()
-    return write_archives(chunks, null_safe_join(records, urls, ["record_id", "row"]), folder)
+    urls = pages.select(row_name(id, url, payload), F.col(url).alias("url")).distinct()
+    return write_archives(chunks, records.join(urls, "row"), folder)
 
 
 def payload_table(read: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def test_files_roll_and_a_repeated_task_changes_nothing(spark, tmp_path):
     df, folder = spark.createDataFrame(rows, PAGES), str(tmp_path / "w")
     for _ in range(2):
         chunks = W.chunks_of(df, "page_id", "html", "url")
-        records = W.plan_revisits(W.digests(chunks)).join(df.select(F.col("page_id").alias("record_id"), "url"), "record_id")
+        records = W.plan_revisits(W.digests(chunks)).join(df.select(W.row_name("page_id", "url", "html"), "url"), "row")
         files = W.write_archives(chunks, records, folder, file_bytes=4000).collect()
     found = [f for f in pafs.LocalFileSystem().get_file_info(pafs.FileSelector(folder)) if f.base_name.startswith("part")]
     assert len(found) == len(files) > 3
