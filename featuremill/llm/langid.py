@@ -144,8 +144,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
 
     Rows without a language or a letter teach nothing. None when nothing is left.
     """
-    rows = docs.filter(F.col(lang).isNotNull() & has_letter(F.col(text)))
-    counts = rows.groupBy(F.col(lang).alias("__lang")).agg(F.count(F.lit(1)).alias("__n"))
+    known = docs.filter(F.col(lang).isNotNull())
+    rows = known.filter(has_letter(F.col(text)))
+    counts = known.groupBy(F.col(lang).alias("__lang")).agg(F.count(F.lit(1)).alias("__n"))
     share = hash_fraction(F.lit("language"), id)
     few = rows.select(F.col(lang).alias("__lang"), F.col(text).alias("__text"), share.alias("__share"), F.col(id).alias("__id")).join(cut_lineage(counts), "__lang")
     few = few.filter(F.col("__share") * F.col("__n") < 1.3 * SAMPLE_DOCS + 20)
