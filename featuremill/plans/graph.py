@@ -66,9 +66,9 @@ def _markov_sql(rounds: int) -> str:
         "m0 AS (SELECT i, j, v / sum(v) OVER (PARTITION BY j) AS v FROM cells)",
     ]
     for k in range(1, rounds + 1):
-        parts.append(f"q{k} AS (SELECT x.i, y.j, power(sum(x.v * y.v), 2.5) AS v FROM m{k - 1} x JOIN m{k - 1} y ON x.j = y.i GROUP BY 1, 2)")
+        parts.append(f"q{k} AS MATERIALIZED (SELECT x.i, y.j, power(sum(x.v * y.v), 2.5) AS v FROM m{k - 1} x JOIN m{k - 1} y ON x.j = y.i GROUP BY 1, 2)")
         parts.append(f"p{k} AS (SELECT i, j, v FROM q{k} QUALIFY v >= {PRUNE} * sum(v) OVER (PARTITION BY j) OR v = max(v) OVER (PARTITION BY j))")
-        parts.append(f"m{k} AS (SELECT i, j, v / sum(v) OVER (PARTITION BY j) AS v FROM p{k})")
+        parts.append(f"m{k} AS MATERIALIZED (SELECT i, j, v / sum(v) OVER (PARTITION BY j) AS v FROM p{k})")
     return ", ".join(parts)
 
 
@@ -86,7 +86,14 @@ def markov_rounds(spark, sf):
     return G.clusters_of(matrix)
 
 
-@query("markov_cluster")
+#: More rounds than the clustering needs to settle; a settled matrix stays as it is.
+SETTLED = 24
+
+
+@query("markov_cluster", f"""WITH {_markov_sql(SETTLED)}, best AS (SELECT j AS vertex, i AS label FROM m{SETTLED}
+  QUALIFY row_number() OVER (PARTITION BY j ORDER BY round(v, 9) DESC, i) = 1),
+sized AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) AS cluster FROM best GROUP BY 1)
+SELECT vertex, cluster FROM best JOIN sized USING (label)""")
 def markov_cluster(spark, sf):
     return G.number_clusters(G.markov_cluster(strong_edges(spark, sf), 2.5, PRUNE))
 
