@@ -12,10 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .ordered import row_rank
 from .vectors import feature_vectors, sample_order
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -161,3 +164,69 @@ def knn_graph(distances: DataFrame, k: int) -> DataFrame:
         .filter(F.col("nth") <= k)
         .select(F.col("a").alias("sample"), F.col("b").alias("neighbour"), "distance", "nth")
     )
+
+
+# Neighbours of many points -------------------------------------------------------------------
+
+#: Points of one block: what a task compares with another block at a time.
+BLOCK = 1024
+
+
+def _closest(queries: pa.Table, points: pa.Table, k: int, same: bool) -> pa.Table:
+    """k nearest points of each query: (id, neighbour, distance), ties to the smaller neighbour."""
+    order = np.argsort(np.array(points.column("id")), kind="stable")
+    names = np.array(points.column("id"))[order]
+    to = np.array(points.column("v").to_pylist(), float)[order]
+    ids, at = np.array(queries.column("id")), np.array(queries.column("v").to_pylist(), float)
+    out: list[tuple[np.ndarray, ...]] = []
+    for s in range(0, len(ids), 64):
+        d = np.sqrt(((at[s : s + 64, None, :] - to[None, :, :]) ** 2).sum(axis=2))
+        if same:
+            d[ids[s : s + 64, None] == names[None, :]] = np.inf
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        far = np.take_along_axis(d, best, 1)
+        keep = np.isfinite(far)
+        out.append((np.repeat(ids[s : s + 64], keep.sum(1)), names[best][keep], far[keep]))
+    cols = [np.concatenate(c) for c in zip(*out)] if out else [np.array([], names.dtype), np.array([], names.dtype), np.zeros(0)]
+    return pa.table({"id": cols[0], "neighbour": cols[1], "distance": cols[2]})
+
+
+def nearest(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """k nearest others of every point(id, v), exact: (id, neighbour, distance, nth). Ids are whole numbers, and unique.
+
+    Points in order of their first coordinate are cut into blocks. A block's own neighbours bound how far the true ones can be, and
+    only blocks that come that near in the first coordinate are compared. Each comparison of two blocks gives k rows per point.
+    """
+    if block <= k:
+        raise ValueError("a block must hold more points than neighbours are asked for")
+    ranked = row_rank(points.select("id", "v").withColumn("x", F.get("v", F.lit(0)).cast("double")), ["x", "id"])
+    rows = cut_lineage(ranked.select("id", "v", "x", F.floor((F.col("rank") - 1) / block).cast("int").alias("block")))
+    schema = f"id {dict(points.dtypes)['id']}, neighbour {dict(points.dtypes)['id']}, distance double"
+    own = cut_lineage(rows.groupBy("block").applyInArrow(lambda t: _closest(t, t, k, True), schema))
+    # The k-th distance inside the block; a block with too few points must look everywhere.
+    kth = own.groupBy("id").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("d"))
+    reach = rows.join(kth, "id", "left").withColumn("d", F.coalesce("d", F.lit(float("inf"))))
+    spans = reach.groupBy("block").agg(F.min(F.col("x") - F.col("d")).alias("low"), F.max(F.col("x") + F.col("d")).alias("high"), F.min("x").alias("first"), F.max("x").alias("last"))
+    spans = cut_lineage(spans)
+    # One row per block; blocks follow one another, so those within reach are a range of block numbers.
+    edges = spans.agg(F.sort_array(F.collect_list(F.struct("block", "first", "last"))).alias("e")).scalar()
+    near = F.filter("e", lambda e: (e["last"] >= F.col("low")) & (e["first"] <= F.col("high")) & (e["block"] != F.col("block")))
+    pairs = cut_lineage(spans.withColumn("e", edges).select(F.col("block").alias("q"), F.explode(F.transform(near, lambda e: e["block"])).alias("t")))
+    queries = rows.join(pairs, F.col("block") == F.col("q")).select("q", "t", "id", "v")
+    targets = rows.join(pairs, F.col("block") == F.col("t")).select(*[F.col(c).alias(f"{c}2") for c in ("q", "t", "id", "v")])
+    both = queries.groupBy("q", "t").cogroup(targets.groupBy("q2", "t2"))
+    other = both.applyInArrow(lambda a, b: _closest(a, b.rename_columns(a.column_names), k, False), schema)
+    w = Window.partitionBy("id").orderBy("distance", "neighbour")
+    return own.unionByName(other).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k)
+
+
+def knn_on_components(long: DataFrame, samples: DataFrame, value: str, k: int = 8, components: int = 5) -> DataFrame:
+    """k nearest samples on their first principal components: (sample, neighbour, distance, nth)."""
+    scores = pca_samples(long, samples, value, components)
+    vectors = scores.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "score"))), lambda c: c["score"]).alias("v"))
+    numbered = cut_lineage(row_rank(vectors, ["sample"], "id"))
+    found = nearest(numbered.select("id", "v"), k)
+    names = numbered.select("id", "sample")
+    return found.join(names, "id").join(names.select(F.col("id").alias("neighbour"), F.col("sample").alias("__name")), "neighbour").select(
+        "sample", F.col("__name").alias("neighbour"), "distance", "nth"
+    )

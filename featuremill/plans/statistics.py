@@ -102,3 +102,17 @@ QUALIFY nth <= 8""")
 def knn_graph(spark, sf):
     out = O.knn_graph(O.pairwise_distance(_logged(spark, sf), design(spark, sf), "x"), 8)
     return out.select("sample", "neighbour", r("distance").alias("distance"), F.col("nth").cast("long").alias("nth"))
+
+
+@query("knn_points", f"""WITH p AS (SELECT vec_id AS id, embedding[1:5]::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT x.id, y.id AS neighbour, list_distance(x.v, y.v) AS distance FROM p x JOIN p y ON x.id <> y.id)
+SELECT id, neighbour, {rs('distance', 6)} AS distance, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS nth FROM d QUALIFY nth <= 8""")
+def knn_points(spark, sf):
+    """Neighbours of many points on five coordinates, in blocks."""
+    points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 5).cast("array<double>").alias("v"))
+    return O.nearest(points, 8).select("id", "neighbour", r("distance").alias("distance"), F.col("nth").cast("long").alias("nth"))
+
+
+@query("knn_components")
+def knn_components(spark, sf):
+    return O.knn_on_components(_logged(spark, sf), design(spark, sf), "x", 8, 5)
