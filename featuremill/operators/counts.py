@@ -62,13 +62,13 @@ def detected_flag(counts: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
-def size_factors(counts: DataFrame, samples: DataFrame) -> DataFrame:
+def size_factors(counts: DataFrame, samples: DataFrame, stored: bool = False) -> DataFrame:
     """Median over features of count / geometric mean, from features counted in every sample.
 
     The per-sample median runs over all features, hence the range-partitioned quantile. The counts
-    are read twice (means, then ratios), so they are stored instead of aggregated twice.
+    are read twice (means, then ratios), so they are stored instead of aggregated twice, unless the caller has ``stored`` them.
     """
-    counts = cut_lineage(counts)
+    counts = counts if stored else cut_lineage(counts)
     n = samples.select("sample").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     positive = counts.filter(F.col("count") > 0)
     means = positive.groupBy("feature").agg(F.avg(F.log("count")).alias("log_mean"), F.count(F.lit(1)).alias("seen"))

@@ -17,14 +17,14 @@ from .ordered import following_min, ntile, quantiles_by, running_sum, store_by_r
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def bh_adjust(df: DataFrame, p: str = "p", out: str = "padj", keys: list[str] | None = None) -> DataFrame:
+def bh_adjust(df: DataFrame, p: str = "p", out: str = "padj", keys: list[str] | None = None, stored: bool = False) -> DataFrame:
     """Step-up adjusted p: running minimum, from the largest p, of p * n / rank (ties: highest rank).
 
     Works on distinct p-values with their counts; a missing p stays missing and is not counted. The
-    rows are stored first, so that the join back meets bit-identical p-values.
+    rows are stored first, so that the join back meets bit-identical p-values; ``stored`` says that they are.
     """
     keys = keys or []
-    df = cut_lineage(df)
+    df = df if stored else cut_lineage(df)
     known = df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n"))
     stored = store_by_range(known, keys, [p])
     ranked = running_sum(stored, keys, [p], {"__rank": "__n"}, stored=True)
@@ -50,14 +50,14 @@ def rejection_counts(df: DataFrame, alpha: float, **columns: str) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c) <= alpha).alias(n) for n, c in columns.items()])
 
 
-def filter_grid(df: DataFrame, alpha: float = 0.05, steps: int = 50) -> DataFrame:
+def filter_grid(df: DataFrame, alpha: float = 0.05, steps: int = 50, stored: bool = False) -> DataFrame:
     """Rejections at ``alpha`` for each mean cutoff; df(feature, base_mean, p) gives (theta, cutoff, rejections).
 
     Only tests with p <= alpha can be rejected, so only those are repeated over the (at most
     ``steps``) cutoffs they pass; the number of tests per cutoff comes from a histogram. The cutoffs themselves
     (``steps`` numbers) pass through the driver.
     """
-    df = cut_lineage(df.select("base_mean", "p"))
+    df = df.select("base_mean", "p") if stored else cut_lineage(df.select("base_mean", "p"))
     thetas = [round(i * 0.95 / (steps - 1), 6) for i in range(steps)]
     cuts = quantiles_by(df, [], "base_mean", {f"q{i}": t for i, t in enumerate(thetas)}).first()
     grid = F.array(*[F.lit(cuts[f"q{i}"]) for i in range(steps)])
@@ -95,10 +95,10 @@ def independent_filter(df: DataFrame, alpha: float = 0.05, steps: int = 50) -> D
     Dropped features keep their p and get a missing adjusted p.
     """
     df = cut_lineage(df)
-    grid = filter_grid(df, alpha, steps)
+    grid = filter_grid(df, alpha, steps, stored=True)
     best = grid.agg(F.max_by("cutoff", F.struct("rejections", -F.col("theta"))).alias("cutoff")).first()["cutoff"]
     tested = df.withColumn("__p", F.when(F.col("base_mean") >= F.lit(best), F.col("p")))
-    return bh_adjust(tested, "__p", "padj").drop("__p")
+    return bh_adjust(tested, "__p", "padj", stored=True).drop("__p")
 
 
 # Learned weights -----------------------------------------------------------------------------

@@ -79,7 +79,7 @@ def stored_counts(spark, sf):
 
 def norm(spark, sf):
     counts = stored_counts(spark, sf)
-    return C.normalized_counts(counts, C.size_factors(counts, design(spark, sf)))
+    return C.normalized_counts(counts, C.size_factors(counts, design(spark, sf), stored=True))
 
 
 @query("size_factors", f"WITH {FACTORS} SELECT sample, {rs('size_factor', 8)} AS size_factor FROM factors")
@@ -101,7 +101,7 @@ def stabilised_log(spark, sf):
 
 def nb_input(spark, sf):
     counts = stored_counts(spark, sf)
-    return NB.model_input(counts, design(spark, sf), C.size_factors(counts, design(spark, sf)), TREATED)
+    return NB.model_input(counts, design(spark, sf), C.size_factors(counts, design(spark, sf), stored=True), TREATED)
 
 
 @query("nb_dispersion")

@@ -105,7 +105,7 @@ def test_enrichment_and_correction_match_brute_force(spark):
     rs = E.ranked_sets(members, ranks)
     got = {r.term: r.p for r in E.ranked_enrichment(rs, ranks).collect()}
     assert got == pytest.approx({t: p(s) for t, s in strong.items()})
-    table, edges = E.overlap_correction(rs, ranks, cut)
+    table, edges = E.overlap_correction(rs, ranks, cut, fdr=1.0)
     sig = {t: set(s) for t, s in strong.items() if p(s) <= cut}
     worst, dropped = {t: p(s) for t, s in sig.items()}, set()
     for a, b in itertools.permutations(sig, 2):
@@ -141,9 +141,9 @@ def test_page_rank_matches_dense_solution(spark):
 def test_set_rank_is_reproducible(spark):
     table = spark.createDataFrame([(t, 3, 0.001 * (i + 1), 0.002 * (i + 1), True) for i, t in enumerate("abcd")], "term string, size int, p double, corrected_p double, kept boolean")
     edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "b")], "src string, dst string")
-    one, two = (rows(E.set_rank(table, edges, 10, 20)) for _ in range(2))
+    one, two = (rows(E.set_rank(table, edges, 20)) for _ in range(2))
     assert one == two and len(one) == 4
-    best = {r.term: r for r in E.set_rank(table, edges, 10, 20).collect()}
+    best = {r.term: r for r in E.set_rank(table, edges, 20).collect()}
     assert best["b"].set_rank == max(r.set_rank for r in best.values()) and 0 < best["b"].p_set_rank <= 1
 
 
