@@ -161,7 +161,7 @@ def fingerprint(text: Column) -> Column:
         for t in texts:
             held.append(t or "")
             size += len(held[-1])
-            if size > 4 << 20:
+            if size > 1 << 20:
                 out += [f.tobytes().hex() for f in fingerprints(held)]
                 held, size = [], 0
         if held:

@@ -23,7 +23,7 @@ from .batches import slices
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
 
 LENGTH, OPEN, FAN_IN, END = 2048, 64, 32, 1
-_KNOWN = 220_000
+_KNOWN = 120_000
 
 
 # White space as the tokenizer's pattern sees it.
@@ -150,20 +150,21 @@ def _split(window: list) -> list[list]:
 
 def _pack(vocabulary: str, length: int, limit: int, end: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, last = encoder(vocabulary).of, np.array([end], "<u4").tobytes()
+        ids, last = encoder(vocabulary), np.array([end], "<u4").tobytes()
         out, windows = _Out(_schema(id_type), 0, TaskContext.get().partitionId()), Windows(length, limit)
         for whole in batches:
             for part in slices(whole, "text", 1 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                for id_, ids in zip(part.column(0).to_pylist(), ids_of(texts)):
-                    ids += last
-                    total = len(ids) // 4
+                for id_, tokens in zip(part.column(0).to_pylist(), ids.of(texts)):
+                    tokens += last
+                    total = len(tokens) // 4
                     for start in range(0, total, length):
-                        piece = (id_, start, total, ids[4 * start : 4 * (start + length)])
+                        piece = (id_, start, total, tokens[4 * start : 4 * (start + length)])
                         if closed := windows.add(len(piece[3]) // 4, piece):
                             for w in _split(closed):
                                 out.window(w)
                 yield from out.batch(8 << 20)
+        ids.old = {}  # the worker may wait for its next task among others
         for w in windows.rest():
             out.window(w, True)
         yield from out.batch()

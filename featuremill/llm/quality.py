@@ -21,6 +21,8 @@ from .batches import bounded_sample, slices
 
 #: Bounds of the sample the model is fitted on: labelled documents, and lines of one of them (longer documents are not fitted on).
 SAMPLE_DOCS, SAMPLE_LINES = 4000, 500
+#: Characters that are turned into features at a time; each takes about a hundred bytes meanwhile.
+SLICE = 1 << 18
 STEPS, RATE, RIDGE = 250, 0.1, 1e-3
 
 # Classes of bytes: letters (and all parts of multi-byte characters), capitals, digits, blanks, then kinds of signs.
@@ -190,7 +192,7 @@ def fit(x: np.ndarray, size: np.ndarray, lines: np.ndarray, label: np.ndarray) -
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for part in slices(whole, "text"):
+        for part in slices(whole, "text", SLICE):
             labels, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
             keep = [i for i, t in enumerate(texts) if t.count("\n") < SAMPLE_LINES]
             if not keep:
@@ -228,7 +230,7 @@ def quality_score(text: Column, model: Model) -> Column:
         for t in texts:
             held.append(t or "")
             size += len(held[-1])
-            if size > 2 << 20:
+            if size > SLICE:
                 out.append(model.score(held))
                 held, size = [], 0
         if held:
