@@ -15,14 +15,14 @@ PRUNE = 1e-3
 
 
 def links(spark, sf):
-    """Parts on neighbouring lines of an order; the score follows the smaller quantity."""
+    """Parts on neighbouring lines of an order; the score grows with the square of the smaller quantity, up to 1000."""
     li = table(spark, sf, "lineitem")
     one = li.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("src"), F.col("l_quantity").alias("q1"))
     two = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("line"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("q2"))
-    return one.join(two, ["l_orderkey", "line"]).select("src", "dst", (F.least("q1", "q2") * 20).alias("score"))
+    return one.join(two, ["l_orderkey", "line"]).select("src", "dst", (F.least("q1", "q2") * F.least("q1", "q2") * 0.4).alias("score"))
 
 
-LINKS = """links AS (SELECT x.l_partkey AS src, y.l_partkey AS dst, least(x.l_quantity, y.l_quantity) * 20 AS score
+LINKS = """links AS (SELECT x.l_partkey AS src, y.l_partkey AS dst, least(x.l_quantity, y.l_quantity) * least(x.l_quantity, y.l_quantity) * 0.4::DOUBLE AS score
   FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1)"""
 
 
