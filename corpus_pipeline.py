@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featuremill.llm import exactdedup, jaccard, mixing, packing, quality
+from featuremill.llm import exactdedup, mixing, packing, quality, simhash
 from featuremill.session import cut_lineage
 
 
@@ -22,8 +22,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard 0.8 or more), the one with the smallest id."""
-    return jaccard.keep_one_of_each(docs)
+    """One document of each group whose fingerprints of three-word shingles link at three bits or fewer, the one with the smallest id."""
+    return simhash.keep_one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
