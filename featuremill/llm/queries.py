@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import editprint, exactdedup, langid, mixing, packing, pii, quality, sharding, simhash, warc
+from . import editprint, exactdedup, langid, lexsearch, licenses, mixing, packing, pii, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,3 +139,34 @@ def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = documents(spark, sf), spark.read.schema(LABELS).parquet(f"{sf}/labels.parquet")
     model = quality.train(docs, labels.filter(remainder(3) != 1))
     return quality.classify(docs.select("doc_id", "text"), model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11 = f"""WITH t AS (SELECT doc_id, unnest({_TERMS.format("text")}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS occ FROM d),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // occ))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN d USING (doc_id), c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
+
+
+@query("op11_lexical_search", OP11)
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexsearch.search(documents(spark, sf), spark.read.schema("item_id bigint, text string").parquet(f"{sf}/benchmark.parquet"))
+
+
+@query("op12_license_scan")
+def op12_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf))
+    base = F.filter("matches", lambda m: m["template"] < len(licenses.PHRASES))
+    labels = lambda m: F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(m, lambda x: x["label"]))))
+    starts = F.transform(base, lambda m: m["start"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)).alias("score"),
+    )
