@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_phrases
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .aggregate import share_of_total, text_list, with_group_stats
 from .joins import first_per_key, full_join, null_safe_join
 
@@ -48,19 +48,50 @@ def stochastic_matrix(edges: DataFrame, weighted: bool = False) -> DataFrame:
     return with_group_stats(cells, ["j"], __s=F.sum("v")).select("i", "j", (F.col("v") / F.col("__s")).alias("v"))
 
 
-def markov_round(matrix: DataFrame, inflation: float = 2.5, prune: float = 1e-4) -> DataFrame:
+#: Entries of a row or column of the matrix beyond which its products are dealt by blocks, and products of one share of a column.
+HUB, SHARE = 512, 1 << 20
+
+
+def _products(matrix: DataFrame, hub: int, share: int) -> DataFrame:
+    """(j, s, i, p): the products that add up to the square, with the share s of column j that i falls into.
+
+    Cell (i, j) adds x(i, m) y(m, j) over m. Where column m and row m are long, both sides are cut into blocks of about ``hub`` entries and
+    every block meets every other, so a hub's products are dealt over many keys. A column that gets more than ``share`` products is cut into shares by i.
+    """
+    sides = matrix.select(F.col("j").alias("m"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(matrix.select(F.col("i").alias("m"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    sizes = cut_lineage(sides.groupBy("m").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    blocks = lambda c: F.ceil(F.col(c) / hub).cast("int")
+    hubs = cut_lineage(sizes.filter((F.col("a") > hub) | (F.col("b") > hub)).select("m", blocks("a").alias("na"), blocks("b").alias("nb")))
+    load = matrix.select(F.col("i").alias("m"), "j").join(sizes, "m").groupBy("j").agg(F.sum("a").alias("n"))
+    wide = cut_lineage(load.filter(F.col("n") > share).select("j", F.ceil(F.col("n") / share).cast("int").alias("shares")))
+
+    one = F.lit(1)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(n, one)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, one) - 1))
+    left = matrix.select("i", F.col("j").alias("m"), F.col("v").alias("x")).join(hubs, "m", "left")
+    left = left.select("i", "m", "x", own("i", F.col("na")).alias("ka"), every(F.col("nb")).alias("kb"))
+    right = matrix.select(F.col("i").alias("m"), "j", F.col("v").alias("y")).join(hubs, "m", "left").join(wide, "j", "left")
+    right = right.select("m", "j", "y", "shares", own("j", F.col("nb")).alias("kb"), every(F.col("na")).alias("ka"))
+    return left.join(right, ["m", "ka", "kb"]).select("j", own("i", F.col("shares")).alias("s"), "i", (F.col("x") * F.col("y")).alias("p"))
+
+
+def markov_round(matrix: DataFrame, inflation: float = 2.5, prune: float = 1e-4, hub: int = HUB, share: int = SHARE) -> DataFrame:
     """Expand (square), inflate (power, then rescale columns), prune small entries and rescale.
 
-    A column's largest entry always stays, so no vertex can vanish. After pruning a column holds at
-    most 1 / ``prune`` entries, which bounds the next expansion to that many products per entry.
-    The square is stored before its columns are compared with their own sums and maxima.
+    A column's largest entry always stays (ties within 1e-9 too), so no vertex can vanish. After pruning a column holds at
+    most 1 / ``prune`` other entries, which bounds the next expansion to that many products per entry.
+
+    The square is never stored: a task that has a share of a column drops what is small against the sum of that share alone, which only
+    falls further behind the whole column's sum. What is left is stored with the sums of the shares, and then cut by the whole column.
     """
-    left = matrix.select("i", F.col("j").alias("m"), F.col("v").alias("x"))
-    right = matrix.select(F.col("i").alias("m"), "j", F.col("v").alias("y"))
-    squared = left.join(right, "m").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-    powered = cut_lineage(squared.withColumn("v", F.pow("v", F.lit(inflation))))
-    scaled = with_group_stats(powered, ["j"], __s=F.sum("v"), __top=F.max("v"))
-    kept = scaled.filter((F.col("v") >= prune * F.col("__s")) | (F.col("v") == F.col("__top"))).select("i", "j", "v")
+    products = _products(matrix, hub, share)
+    cells = products.repartition("j", "s").groupBy("j", "s", "i").agg(F.pow(F.sum("p"), F.lit(inflation)).alias("v"))
+    w = Window.partitionBy("j", "s")
+    big = lambda total, top: (F.col("v") >= prune * F.col(total)) | (F.col("v") >= (1 - 1e-9) * F.col(top))
+    local = cells.withColumn("sum", F.sum("v").over(w)).withColumn("top", F.max("v").over(w)).filter(big("sum", "top"))
+    local = cut_lineage(local)
+    totals = local.groupBy("j", "s").agg(F.max("sum").alias("sum"), F.max("top").alias("top")).groupBy("j").agg(F.sum("sum").alias("__s"), F.max("top").alias("__top"))
+    kept = local.select("i", "j", "v").join(totals, "j").filter(big("__s", "__top")).select("i", "j", "v")
     return with_group_stats(kept, ["j"], __s=F.sum("v")).select("i", "j", (F.col("v") / F.col("__s")).alias("v"))
 
 
@@ -88,7 +119,8 @@ def markov_cluster(
     """
     matrix = cut_lineage(stochastic_matrix(edges, weighted))
     for _ in range(max_rounds):
-        matrix = cut_lineage(markov_round(matrix, inflation, prune))
+        before, matrix = matrix, cut_lineage(markov_round(matrix, inflation, prune))
+        release(before)
         uneven = matrix.groupBy("j").agg((F.max("v") - F.sum(F.col("v") * F.col("v"))).alias("d")).agg(F.max("d")).first()[0]
         if uneven is None or uneven < tolerance:
             return clusters_of(matrix)

@@ -93,11 +93,11 @@ def source_diff(spark, sf):
     return A.source_diff(_source(spark, sf, 1, 30, "x"), _source(spark, sf, 20, 45, "x"))
 
 
-@query("term_diff", """WITH a AS (SELECT DISTINCT p_name AS term FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT DISTINCT p_name AS term FROM part WHERE p_partkey % 3 <> 1)
+@query("term_diff", """WITH a AS (SELECT DISTINCT p_name AS term FROM part WHERE p_size <= 2), b AS (SELECT DISTINCT p_name AS term FROM part WHERE p_size > 47)
 SELECT term, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT term, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def term_diff(spark, sf):
     part = table(spark, sf, "part").withColumnRenamed("p_name", "term")
-    return A.term_diff(part.filter("p_partkey % 3 <> 0"), part.filter("p_partkey % 3 <> 1"))
+    return A.term_diff(part.filter("p_size <= 2"), part.filter("p_size > 47"))
 
 
 def annotation_table(spark, sf):
@@ -134,10 +134,10 @@ def reference_and_rank(spark, sf):
 
 
 @query("unannotated_union", """SELECT 'large' AS kind, p_partkey AS id FROM part WHERE p_size > 45 UNION ALL
-SELECT 'unsold', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey % 11 <> 0)""")
+SELECT 'unsold in bulk', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 48)""")
 def unannotated_union(spark, sf):
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size")
-    sold = table(spark, sf, "lineitem").filter("l_partkey % 11 <> 0").select(F.col("l_partkey").alias("id"))
+    sold = table(spark, sf, "lineitem").filter("l_quantity >= 48").select(F.col("l_partkey").alias("id"))
     large = A.unannotated(part, part.filter("p_size <= 45")).select(F.lit("large").alias("kind"), "id")
-    unsold = A.unannotated(part, sold).select(F.lit("unsold").alias("kind"), "id")
+    unsold = A.unannotated(part, sold).select(F.lit("unsold in bulk").alias("kind"), "id")
     return stack(large, unsold)

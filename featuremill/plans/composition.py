@@ -58,18 +58,16 @@ SHARES = f"{PART_COUNTS}, shares AS (SELECT feature, sample, count AS value, cou
 
 # Reading and cleaning --------------------------------------------------------------------------
 
-EVENT_GROUPS = {"click": "g1", "error": "g2", "purchase": "g1", "signup": "g2", "view": "g1"}
-
-
 @query("parse_encoded", """SELECT user_id, 'file-' || event_type AS file, event_type AS sample,
   CASE WHEN event_type IN ('error', 'signup') THEN 'g2' ELSE 'g1' END AS grp, round(sum(value), 2) AS total, count(*)::DOUBLE AS events FROM events GROUP BY 1, 2, 3, 4""")
 def parse_encoded(spark, sf):
-    aggs = []
-    for kind, group in EVENT_GROUPS.items():
-        here = F.col("event_type") == kind
+    events, aggs = table(spark, sf, "events"), []
+    # A wide table has a column for each type, so their names are needed before it is read.
+    for kind in sorted(x["event_type"] for x in events.select("event_type").distinct().collect()):
+        here, group = F.col("event_type") == kind, "g2" if kind in ("error", "signup") else "g1"
         aggs.append(F.round(F.sum(F.when(here, F.col("value"))), 2).alias(f"file-{kind}_{kind}_{group}_Total"))
         aggs.append(F.nullif(F.count_if(here), F.lit(0)).cast("double").alias(f"file-{kind}_{kind}_{group}_Events"))
-    wide = table(spark, sf, "events").groupBy("user_id").agg(*aggs)
+    wide = events.groupBy("user_id").agg(*aggs)
     out = K.parse_encoded_columns(
         wide, ["user_id"], ["file", "sample", "grp", "variable"], {"Total": "total", "Events": "events"}, prefix="file-"
     )

@@ -58,12 +58,15 @@ def mapping_ambiguity(spark, sf):
     return stack(many_ids, many_symbols)
 
 
-@query("detected_flag", f"""WITH {SAMPLES}, t AS (SELECT l_partkey, sum(l_quantity) AS total FROM lineitem JOIN samples ON l_suppkey = s_suppkey WHERE l_partkey % 9 <> 0 GROUP BY 1)
+@query("detected_flag", f"""WITH {SAMPLES}, known AS (SELECT p_partkey AS feature FROM part WHERE p_size <= 44),
+t AS (SELECT l_partkey, sum(l_quantity) AS total FROM lineitem JOIN samples ON l_suppkey = s_suppkey JOIN known ON feature = l_partkey GROUP BY 1)
 SELECT p_partkey AS feature, coalesce(total, 0.0) AS total, coalesce(total, 0.0) > 0 AS detected FROM part LEFT JOIN t ON l_partkey = p_partkey""")
 def detected_flag(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_partkey % 9 <> 0")  # some features were never counted
-    counts = li.join(samples(spark, sf), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("feature"), "sample", F.col("l_quantity").alias("count"))
-    return C.detected_flag(counts, table(spark, sf, "part").select(F.col("p_partkey").alias("feature")))
+    part = table(spark, sf, "part")
+    known = part.filter("p_size <= 44").select(F.col("p_partkey").alias("feature"))  # the bridge knows only some features
+    li = table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "feature").join(known, "feature")
+    counts = li.join(samples(spark, sf), F.col("l_suppkey") == F.col("s_suppkey")).select("feature", "sample", F.col("l_quantity").alias("count"))
+    return C.detected_flag(counts, part.select(F.col("p_partkey").alias("feature")))
 
 
 FACTORS = f"""{COUNTS},
@@ -255,8 +258,8 @@ def marker_database(spark, sf):
 
 def curated_markers(spark, sf):
     organ = F.when(F.col("p_size") % 2 == 0, "organ A").otherwise("organ B")
-    """A list made by hand: every twelfth part."""
-    return table(spark, sf, "part").filter("p_partkey % 12 = 0").select(
+    """A list made by hand: the small parts."""
+    return table(spark, sf, "part").filter("p_size <= 4").select(
         _marker_symbol("p_partkey"), F.col("p_type").alias("category"), organ.alias("organ")
     ).distinct()
 
@@ -273,7 +276,7 @@ MARKERS = f"""db AS (SELECT p_partkey // 2 AS symbol, p_type AS category, {_ORGA
   CASE p_size % 3 WHEN 0 THEN 'Mm' WHEN 1 THEN 'Mm Hs' ELSE 'Hs' END AS species,
   CASE WHEN p_size % 4 <> 0 THEN 1 END AS canonical, CASE WHEN p_size <= 45 THEN p_retailprice - 960.0 END AS specificity FROM part),
 curated AS (SELECT DISTINCT p_partkey // 2 AS symbol, p_type AS category, {_ORGAN} AS organ
-  FROM part WHERE p_partkey % 12 = 0),
+  FROM part WHERE p_size <= 4),
 ambiguous AS (SELECT symbol FROM db FULL JOIN curated USING (symbol, category, organ)
   WHERE symbol <> 7 AND category IN ({_CATS}) GROUP BY 1 HAVING count(*) <> 1),
 markers AS (SELECT symbol, category, organ, canonical, specificity FROM

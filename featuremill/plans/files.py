@@ -62,26 +62,20 @@ def edge_list_round_trip(spark, sf):
     return R.read_space_delimited(spark, path, "src bigint, dst bigint, score double")
 
 
-KINDS = ["click", "error", "purchase", "signup", "view"]
-
-
 @query("sample_files", "SELECT event_type AS sample, event_id, user_id, value FROM events")
 def sample_files(spark, sf):
-    """A file tree per sample, read in one scan."""
+    """A folder per sample, written in one job and read in one scan."""
     path = folder(spark)
-    events = table(spark, sf, "events").select("event_type", "event_id", "user_id", "value")
-    for kind in KINDS:
-        W.write_tsv(events.filter(F.col("event_type") == kind).drop("event_type"), f"{path}/{kind}.tsv")
-    return R.read_sample_files(spark, f"{path}/*.tsv", "event_id bigint, user_id bigint, value double", r"([^/]+)\.tsv/")
+    W.write_sample_files(table(spark, sf, "events").select("event_type", "event_id", "user_id", "value"), path, "event_type")
+    return R.read_sample_files(spark, f"{path}/*", "event_id bigint, user_id bigint, value double", R.FOLDER_TAG)
 
 
 @query("multi_header", "SELECT s_suppkey AS key_id, s_acctbal AS money_balance, s_name AS text_name FROM supplier")
 def multi_header(spark, sf):
     """Two header lines in each file; a column's name is made of both."""
     path = folder(spark)
-    body = table(spark, sf, "supplier").select(F.concat_ws("\t", "s_suppkey", "s_acctbal", "s_name").alias("value")).coalesce(1)
-    head = spark.createDataFrame([("key\tmoney\ttext\nid\tbalance\tname",)], "value string")
-    head.unionByName(body).coalesce(1).write.text(path)
+    body = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal", "s_name")
+    W.write_multi_header(body, path, [["key", "money", "text"], ["id", "balance", "name"]])
     return R.read_multi_header(spark, path, 2, "_".join, {"key_id": "bigint", "money_balance": "double"})
 
 
@@ -158,8 +152,8 @@ def first_rows_query(spark, sf):
 
 
 @query("unequal_positions", """WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) AS rank, p_brand AS "left" FROM part),
-b AS (SELECT row_number() OVER (ORDER BY p_size, p_partkey) AS rank, p_brand AS "right" FROM part WHERE p_partkey % 10 <> 0)
+b AS (SELECT row_number() OVER (ORDER BY p_size, p_partkey) AS rank, p_brand AS "right" FROM part WHERE p_size > 5)
 SELECT rank, "left", "right" FROM a FULL JOIN b USING (rank) WHERE "left" IS DISTINCT FROM "right" """)
 def unequal(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_size", "p_brand")
-    return unequal_positions(part, part.filter("p_partkey % 10 <> 0"), "p_brand", ["p_partkey"], ["p_size", "p_partkey"])
+    return unequal_positions(part, part.filter("p_size > 5"), "p_brand", ["p_partkey"], ["p_size", "p_partkey"])

@@ -1,4 +1,4 @@
-"""Queries on the interaction graph (parts on neighbouring lines of an order) and on its clusters."""
+"""Queries on the interaction graph (parts that share an order) and on its clusters."""
 
 from __future__ import annotations
 
@@ -15,25 +15,25 @@ PRUNE = 1e-3
 
 
 def links(spark, sf):
-    """Parts on neighbouring lines of an order; the score grows with the square of the smaller quantity, up to 1000."""
-    li = table(spark, sf, "lineitem")
-    one = li.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("src"), F.col("l_quantity").alias("q1"))
-    two = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("line"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("q2"))
-    return one.join(two, ["l_orderkey", "line"]).select("src", "dst", (F.least("q1", "q2") * F.least("q1", "q2") * 0.4).alias("score"))
+    """All pairs of parts that share an order; the score is 20 times the smaller quantity, up to 1000."""
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    x, y = line.alias("x"), line.alias("y")
+    both = x.join(y, (F.col("x.l_orderkey") == F.col("y.l_orderkey")) & (F.col("x.l_linenumber") < F.col("y.l_linenumber")))
+    return both.select(F.col("x.l_partkey").alias("src"), F.col("y.l_partkey").alias("dst"), (F.least("x.l_quantity", "y.l_quantity") * 20.0).alias("score"))
 
 
-LINKS = """links AS (SELECT x.l_partkey AS src, y.l_partkey AS dst, least(x.l_quantity, y.l_quantity) * least(x.l_quantity, y.l_quantity) * 0.4::DOUBLE AS score
-  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1)"""
+LINKS = """links AS (SELECT x.l_partkey AS src, y.l_partkey AS dst, 20.0::DOUBLE * least(x.l_quantity, y.l_quantity) AS score
+  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber)"""
 
 
 def vertices(spark, sf):
     part = table(spark, sf, "part")
     items = part.select(symbol_col().alias("alias")).distinct()
-    known = part.filter("p_partkey % 7 <> 0")  # the bridge knows only some parts
+    known = part.filter("p_size <= 43")  # the bridge knows only some parts
     return G.map_to_vertices(items, known.select(symbol_col().alias("alias"), F.col("p_partkey").alias("vertex")))
 
 
-VERTICES = f"""{GENES}, vertices AS (SELECT symbol AS alias, min(id) AS vertex FROM genes WHERE id % 7 <> 0 GROUP BY 1)"""
+VERTICES = f"""{GENES}, vertices AS (SELECT symbol AS alias, min(id) AS vertex FROM genes WHERE p_size <= 43 GROUP BY 1)"""
 
 
 @query("map_to_vertices", f"WITH {VERTICES} SELECT alias, vertex FROM vertices")
@@ -67,7 +67,7 @@ def _markov_sql(rounds: int) -> str:
     ]
     for k in range(1, rounds + 1):
         parts.append(f"q{k} AS MATERIALIZED (SELECT x.i, y.j, power(sum(x.v * y.v), 2.5) AS v FROM m{k - 1} x JOIN m{k - 1} y ON x.j = y.i GROUP BY 1, 2)")
-        parts.append(f"p{k} AS (SELECT i, j, v FROM q{k} QUALIFY v >= {PRUNE} * sum(v) OVER (PARTITION BY j) OR v = max(v) OVER (PARTITION BY j))")
+        parts.append(f"p{k} AS (SELECT i, j, v FROM q{k} QUALIFY v >= {PRUNE} * sum(v) OVER (PARTITION BY j) OR v >= (1 - 1e-9) * max(v) OVER (PARTITION BY j))")
         parts.append(f"m{k} AS MATERIALIZED (SELECT i, j, v / sum(v) OVER (PARTITION BY j) AS v FROM p{k})")
     return ", ".join(parts)
 
@@ -103,11 +103,12 @@ def markov_cluster(spark, sf):
 PHRASES = ["Genes annotated with", "(mouse)"]
 
 
-@query("node_annotation", """WITH m AS (SELECT DISTINCT l_partkey AS node, l_returnflag || ' ' || l_linestatus AS name FROM lineitem WHERE l_partkey % 5 <> 0)
+@query("node_annotation", """WITH m AS (SELECT DISTINCT l_partkey AS node, l_returnflag || ' ' || l_linestatus AS name FROM lineitem WHERE l_quantity >= 48)
 SELECT p_partkey AS node, set_names FROM part LEFT JOIN (SELECT node, string_agg(name, ', ' ORDER BY name) AS set_names FROM m GROUP BY 1) ON node = p_partkey""")
 def node_annotation(spark, sf):
     name = F.concat(F.lit("Genes annotated with  "), "l_returnflag", F.lit(" (mouse) "), "l_linestatus")
-    member = table(spark, sf, "lineitem").filter("l_partkey % 5 <> 0").select(F.col("l_partkey").alias("node"), name.alias("name"))
+    large = table(spark, sf, "lineitem").filter("l_quantity >= 48")  # parts that never came in such a quantity have no set
+    member = large.select(F.col("l_partkey").alias("node"), name.alias("name"))
     nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
     return G.node_annotation(nodes, member, PHRASES)
 

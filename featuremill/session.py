@@ -35,7 +35,7 @@ def stage_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         folder = f"{shared.rstrip('/')}/featuremill-{spark.sparkContext.applicationId}"
-        if folder not in _swept:
+        if folder not in _swept and hasattr(spark, "_jvm"):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             files = path.getFileSystem(spark._jsc.hadoopConfiguration())
             files.mkdirs(path)
@@ -58,4 +58,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{stage_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def release(stored: DataFrame) -> None:
+    """Remove a table that :func:`cut_lineage` wrote, once nothing reads it any more. Loops keep two rounds on disk at most.
+
+    Does nothing for other tables, and where the session has no access to its file systems; the table then stays until the driver ends.
+    """
+    path, spark = getattr(stored, "_stored_at", None), stored.sparkSession
+    if path and hasattr(spark, "_jvm"):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

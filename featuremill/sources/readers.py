@@ -36,10 +36,14 @@ def read_space_delimited(spark: SparkSession, path: str, schema: str | T.StructT
     return read_tsv(spark, path, schema, sep=" ")
 
 
+#: The value of a folder named ``column=value``.
+FOLDER_TAG = r"[^/=]+=([^/]*)/[^/]*$"
+
+
 def read_sample_files(spark: SparkSession, pattern: str, schema: str | T.StructType, sample_regex: str) -> DataFrame:
-    """One scan over all files of a pattern; the sample tag is taken from each row's file path."""
+    """One scan over all files of a pattern; the sample tag is taken from each row's file path, the mark of a missing one as null."""
     df = spark.read.schema(schema).option("sep", "\t").option("header", True).csv(pattern)
-    tag = F.regexp_extract(F.col("_metadata.file_path"), sample_regex, 1)
+    tag = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), sample_regex, 1), F.lit("__HIVE_DEFAULT_PARTITION__"))
     return df.select(tag.alias("sample"), *df.columns)
 
 
