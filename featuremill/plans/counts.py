@@ -189,18 +189,37 @@ def rejection_counts(spark, sf):
 # Differential results -------------------------------------------------------------------------
 
 
-@query("combine_results", f"""WITH {PART_RESULTS}
-SELECT feature, sample, condition, count, {rs('padj', 9)} AS padj, {rs('log2fc', 6)} AS log2fc, {rs('log2(count + 1.0)', 6)} AS log2_count
-FROM (SELECT r.*, d.*, coalesce(c.count, 0.0) AS count FROM results r CROSS JOIN design d LEFT JOIN part_counts c ON c.feature = r.feature AND c.sample = d.sample)""")
+@query("combine_results", f"""WITH {PART_RESULTS}, {WEIGHTED},
+adjusted AS MATERIALIZED (SELECT feature, padj AS weighted_padj FROM ({bh_sql('pw', 'pw')})),
+tests AS MATERIALIZED (SELECT feature, padj, log2fc, weighted_padj FROM results JOIN adjusted USING (feature)),
+cells AS MATERIALIZED (SELECT feature, sample, count FROM part_counts),
+groups AS MATERIALIZED (SELECT list({{'sample': sample, 'condition': condition}}) AS g FROM design),
+grid AS MATERIALIZED (SELECT feature, padj, log2fc, weighted_padj, unnest((SELECT g FROM groups), recursive := true) FROM tests)
+SELECT feature, sample, condition, coalesce(count, 0.0) AS count, {rs('padj', 9)} AS padj, {rs('weighted_padj', 9)} AS weighted_padj, {rs('log2fc', 6)} AS log2fc,
+  {rs('log2(coalesce(count, 0.0) + 1.0)', 6)} AS log2_count FROM grid LEFT JOIN cells USING (feature, sample)""")
 def combine_results(spark, sf):
     counts = part_counts(spark, sf)
     logged = counts.select("feature", "sample", F.log2(F.col("count") + 1.0).alias("log2_count"))
-    out = C.combine_results(part_results(spark, sf), counts, logged, design(spark, sf), {"log2_count": 0.0})
+    weighted = MT.weighted_bh(_tile_weighted(spark, sf), "p", "weight", "weighted_padj").select("feature", "weighted_padj")
+    tests = part_results(spark, sf).join(weighted, "feature")
+    out = C.combine_results(tests, counts, logged, design(spark, sf), {"log2_count": 0.0})
     return out.select(
-        "feature", "sample", "condition", "count", r("padj", 9).alias("padj"), r("log2fc").alias("log2fc"), r("log2_count").alias("log2_count")
+        "feature", "sample", "condition", "count", r("padj", 9).alias("padj"), r("weighted_padj", 9).alias("weighted_padj"), r("log2fc").alias("log2fc"),
+        r("log2_count").alias("log2_count"),
     )
 
 
+@query("combine_transformed")
+def combine_transformed(spark, sf):
+    """The long table of the fitted model: its tests, both adjustments, and regularised values of every sample."""
+    counts = stored_counts(spark, sf)
+    model = cut_lineage(NB.model_input(counts, design(spark, sf), C.size_factors(counts, design(spark, sf), stored=True), TREATED))
+    tests = cut_lineage(NB.wald_test(model).select("feature", "base_mean", "log2fc", "count_outlier", "p"))
+    weighted = MT.ihw(tests, tiles=5, folds=5, alpha=0.05, out="weighted_padj").select("feature", "weighted_padj")
+    adjusted = MT.independent_filter(tests).join(weighted, "feature")
+    return C.combine_results(adjusted, counts, NB.rlog(model, design(spark, sf)), design(spark, sf))
+
+
 @query("volcano_table", f"""WITH {PART_RESULTS},
 v AS (SELECT feature, coalesce(padj, 1.0) AS padj, least(greatest(coalesce(log2fc, 0.0), -1.0), 1.0) AS log2fc FROM results)
 SELECT feature, {rs('padj', 9)} AS padj, {rs('log2fc', 6)} AS log2fc,

@@ -157,7 +157,8 @@ def test_nb_kernels_recover_parameters():
     k = _nb(rng, np.where(g == 1, 400.0, 100.0) * s, 0.2, (60, 60)).astype(float)
     alpha = NB.genewise_dispersion_np(k, s, g)
     assert np.median(alpha) == pytest.approx(0.2, rel=0.15)
-    lfc, se = NB.wald_np(k, s, g, np.full(60, 0.2))
+    lfc, se, mu, settled = NB.wald_np(k, s, g, np.full(60, 0.2))
+    assert settled.all() and np.allclose(mu[:, g == 0] / s[g == 0], (mu[:, g == 0] / s[g == 0])[:, :1])
     assert lfc.mean() == pytest.approx(2.0, abs=0.1) and lfc.std() == pytest.approx(se.mean(), rel=0.4)
     shrunk = NB.map_dispersion_np(k, s, g, np.full(60, 0.2), 0.01)
     assert np.abs(np.log(shrunk / 0.2)).max() < np.abs(np.log(alpha / 0.2)).max()
