@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -23,59 +23,132 @@ from .batches import slices
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
 
 LENGTH, OPEN, FAN_IN, END = 2048, 64, 32, 1
-_KNOWN = 120_000
+#: Text that is encoded at a time, and bytes of words whose ids a worker keeps, between tasks too.
+SLICE_BYTES, KNOWN_BYTES = 16 << 20, 32 << 20
 
-
-# White space as the tokenizer's pattern sees it.
+# White space as the tokenizer's pattern sees it, and letters that every version of Unicode has as such.
 _WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: Texts that are cut with care: other white space than blanks and line ends, runs of more than two, or of two at the end; or marks.
+_ODD = "[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00\x01]|[ \n]{3}|[ \n]{2}\\z"
+#: Stands before a word that no blank goes before.
+_MARK = "\x01"
 
 
 class _Ids:
-    """Ids of texts as little-endian bytes. The ids of words are kept for as long as the words keep coming."""
+    """Ids of texts. A word's ids are kept, as one of many in a few long arrays, until words that came later need the room."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, room: int = KNOWN_BYTES):
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.room = room
         self.split = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
-        self.joins = re.compile(f"[{_WHITE}].*[^{_WHITE}]", re.DOTALL).fullmatch
-        # The vocabulary spells each byte as one character.
-        self.bytes = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # The vocabulary spells each byte as one character; printable ones of Latin-1 stand for themselves.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in plain]
+        self.spelling = {x: x for x in plain} | {x: 256 + i for i, x in enumerate(rest)}
+        self.words = pa.array([], pa.string())
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def of(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts.
+        """Ids of whole texts, as little-endian bytes.
 
-        A word goes with the white space before it. The tokenizer cuts a text by a pattern none of whose pieces goes on from another
-        character to white space, and never merges over the cuts, so the ids of a text are those of its words, and each different
-        word of the texts is encoded once.
+        The tokenizer cuts a text by a pattern and never merges over the cuts. It always cuts before a blank or line end that follows another
+        character, and between a letter and a mark of punctuation. So the ids of a text are those of its words, a word being what lies between
+        such places, with the white space before it; runs of white space, which the pattern takes together, are left whole.
         """
-        cut = [self.split(t) for t in texts]
-        young, old = self.young, self.old
-        new = set().union(*cut) - young.keys()
-        for word in new & old.keys():
-            young[word] = old[word]
-        self.add(new - old.keys())
-        out = [b"".join(map(young.__getitem__, words)) for words in cut]
-        if len(young) > _KNOWN:
-            self.old, self.young = young, {}
-        return out
-
-
-    def add(self, words: set[str]) -> None:
-        """Encode new words. Those that begin with white space and end with another character make one text when laid end to end;
-        its ids fall apart into theirs where the bytes do."""
-        chain, rest = [], []
-        for word in words:
-            (chain if self.joins(word) else rest).append(word)
-        young, encode = self.young, self.tokenizer.encode_batch_fast
-        young.update(zip(rest, [array("I", e.ids).tobytes() for e in encode(rest, add_special_tokens=False)]))
-        ids = np.array(encode(["".join(chain)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(w.encode("utf-8", "replace")) for w in chain])) + 1
-        data, start = ids.tobytes(), 0
-        for word, end in zip(chain, (4 * ends).tolist()):
-            young[word] = data[start:end]
-            start = end
+        pieces, of = [], []
+        for i, t in enumerate(texts):
+            while len(t) > SLICE_BYTES // 2 and (cut := self._place(t)) > 0:
+                pieces.append(t[:cut])
+                of.append(i)
+                t = t[cut:]
+            pieces.append(t)
+            of.append(i)
+        column = pa.array(pieces, pa.string())
+        odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
+        out: list[list[bytes]] = [[] for _ in texts]
+        parts: list[bytes] = [b""] * len(pieces)
+        for i in np.flatnonzero(odd).tolist():
+            parts[i] = self._careful(pieces[i])
+        smooth = np.flatnonzero(~odd)
+        for i, x in zip(smooth.tolist(), self._smooth(column.take(pa.array(smooth)))):
+            parts[i] = x
+        for i, x in zip(of, parts):
+            out[i].append(x)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    @staticmethod
+    def _place(text: str) -> int:
+        """A blank between two words in the first half of SLICE_BYTES, where a long text can be cut; 0 if there is none."""
+        at = SLICE_BYTES // 2
+        while (at := text.rfind(" ", 1, at)) > 0:
+            if not text[at - 1].isspace() and not text[at + 1 : at + 2].isspace() and at + 1 < len(text):
+                return at
+        return 0
+
+    def _careful(self, text: str) -> bytes:
+        words = self.split(text)
+        each = list(dict.fromkeys(words))
+        of = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(each, self.tokenizer.encode_batch_fast(each, add_special_tokens=False))}
+        return b"".join(map(of.__getitem__, words))
+
+    def _smooth(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of texts without odd white space. Words are cut, counted and laid out in arrays; only words not known are looked at one by one."""
+        if len(texts) == 0:
+            return []
+        marked = pc.binary_join_element_wise(pa.scalar(_MARK), texts, "")
+        marked = pc.replace_substring(marked, "\n", f" {_MARK}\n")
+        marked = pc.replace_substring_regex(marked, f"([{_LETTERS}])([.,;:!?])", rf"\1 {_MARK}\2")
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.flatten().dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy()
+        at = pc.index_in(words, self.words)
+        fresh = at.is_null()
+        new_ids, new_ends = self._encode(words.filter(fresh))
+        ids = np.concatenate([self.ids, new_ids])
+        ends = np.concatenate([self.ends, len(self.ids) + new_ends[1:]])
+        row = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        mask = fresh.to_numpy(zero_copy_only=False)
+        row[mask] = len(self.words) + np.arange(mask.sum())
+        flat, stops = _gather(ids, ends, row[codes])
+        bounds = stops[lists.offsets.to_numpy()].tolist()
+        self._keep(words, row, ids, ends)
+        data = flat.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+    def _encode(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words laid end to end, and where each ends. A word of letters is one piece of the pattern, and goes to the model as it is."""
+        plain = pc.match_substring_regex(words, f"^{_MARK}?[{_LETTERS}]+$").to_numpy(zero_copy_only=False)
+        whole = [w[1:] if w[:1] == _MARK else " " + w for w in words.to_pylist()]
+        model, spelling = self.tokenizer.model.tokenize, self.spelling
+        each: list[list[int]] = [[] for _ in whole]
+        for i in np.flatnonzero(plain).tolist():
+            each[i] = [x.id for x in model(whole[i].encode().decode("latin-1").translate(spelling))]
+        rest = np.flatnonzero(~plain).tolist()
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([whole[i] for i in rest], add_special_tokens=False)):
+            each[i] = e.ids
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
+        return np.fromiter((x for ids in each for x in ids), "<u4", ends[-1]), ends
+
+    def _keep(self, words: pa.StringArray, row: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Keep the ids of the words just seen, then of those known before, as far as there is room."""
+        before = np.ones(len(self.words), bool)
+        before[row[row < len(before)]] = False
+        order = np.concatenate([row, np.flatnonzero(before)])
+        names = pa.concat_arrays([words, self.words.filter(pa.array(before))])
+        cost = pc.binary_length(names).to_numpy() + 4 * (ends[order + 1] - ends[order]) + 16
+        n = int(np.searchsorted(np.cumsum(cost), self.room, "right"))
+        self.words = pa.concat_arrays([names.slice(0, n)]) if n < len(names) else names
+        self.ids, self.ends = _gather(ids, ends, order[:n])
+
+
+def _gather(ids: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``ids`` laid end to end in the order of ``rows``, and where each ends, from 0."""
+    sizes = ends[rows + 1] - ends[rows]
+    stops = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(stops[-1]) + np.repeat(ends[rows] - stops[:-1], sizes)
+    return ids[at], stops
 
 
 @cache
@@ -153,7 +226,7 @@ def _pack(vocabulary: str, length: int, limit: int, end: int, id_type: pa.DataTy
         ids, last = encoder(vocabulary), np.array([end], "<u4").tobytes()
         out, windows = _Out(_schema(id_type), 0, TaskContext.get().partitionId()), Windows(length, limit)
         for whole in batches:
-            for part in slices(whole, "text", 1 << 20):
+            for part in slices(whole, "text", SLICE_BYTES):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for id_, tokens in zip(part.column(0).to_pylist(), ids.of(texts)):
                     tokens += last
@@ -164,7 +237,6 @@ def _pack(vocabulary: str, length: int, limit: int, end: int, id_type: pa.DataTy
                             for w in _split(closed):
                                 out.window(w)
                 yield from out.batch(8 << 20)
-        ids.old = {}  # the worker may wait for its next task among others
         for w in windows.rest():
             out.window(w, True)
         yield from out.batch()

@@ -77,15 +77,43 @@ def test_odd_white_space(text):
     assert np.frombuffer(P.encoder(public_tokenizers.path("byte_bpe_50k.json")).of([text])[0], "<u4").tolist() == ids_of(text)[:-1]
 
 
-def test_every_kind_of_white_space_in_every_place(monkeypatch):
-    monkeypatch.setattr(P, "_KNOWN", 50)
+def test_every_kind_of_white_space_in_every_place():
     white = [chr(c) for c in range(0x10000) if chr(c).isspace()] + ["\u180e", "\u200b", "\ufeff", "\x00"]
     texts = [f"{a}x!{a}{b}y{b}{b}!!{a}{b}{a} 1{b}" for a in white for b in (" ", "\n", "\t", "\xa0", "\x1c")]
-    ids = P.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = P._Ids(public_tokenizers.path("byte_bpe_50k.json"), room=1500)
     assert [np.frombuffer(i, "<u4").tolist() for i in ids.of(texts)] == [ids_of(t)[:-1] for t in texts]
     assert [i for t in texts for i in ids.of([t])] == ids.of(texts)
 
 
+_PARTS = st.sampled_from(["a", "Wort", "don't", "x's", "'re", "12", "½", "é", "ß", "×", "日本", "\u0301", ".", ",", "...", "?!", ";)", "-", "'", '"', " ", "\n", "  ", "\n\n", " \n", "\n ", "\n\n\n", "\t", "\xa0", "\x00", "\x01", "<|endoftext|>"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(_PARTS, max_size=14).map("".join), max_size=6), st.sampled_from([0, 200, 1 << 20]))
+def test_words_and_marks_in_any_order(texts, room):
+    ids = KEPT.setdefault(room, P._Ids(public_tokenizers.path("byte_bpe_50k.json"), room=room))
+    for _ in range(2):
+        assert [np.frombuffer(i, "<u4").tolist() for i in ids.of(texts)] == [ids_of(t)[:-1] for t in texts]
+
+
+KEPT = {}
+
+
+def test_long_texts_are_cut_between_words(monkeypatch, sf):
+    monkeypatch.setattr(P, "SLICE_BYTES", 400)
+    texts = [t or "" for _, t in column_rows(sf, "documents", "doc_id", "text")][:150] + ["x" * 1500, "a " * 700, "a  b " * 300, "one\n two " * 200, " " * 900, "日本" * 600]
+    ids = P._Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [np.frombuffer(i, "<u4").tolist() for i in ids.of(texts)] == [ids_of(t)[:-1] for t in texts]
+
+
+def test_kept_words_stay_within_their_room():
+    ids = P._Ids(public_tokenizers.path("byte_bpe_50k.json"), room=3000)
+    for i in range(20):
+        ids.of([" ".join(f"word{j}" for j in range(i * 30, i * 30 + 90))])
+        kept = sum(len(w.encode()) for w in ids.words.to_pylist()) + 4 * len(ids.ids) + 16 * len(ids.words)
+        assert kept <= 3000 and len(ids.ends) == len(ids.words) + 1 and ids.ends[-1] == len(ids.ids)
+
+
 def test_awkward_and_empty(spark):
     df = awkward(spark)
     rows = [r.asDict() | {"ids_crc32": zlib.crc32(bytes(r.token_ids))} for r in P.pack(df).collect()]
