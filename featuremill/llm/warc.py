@@ -47,7 +47,9 @@ def chunks_of(rows: DataFrame, id: str, payload: str, url: str, size: int = CHUN
 
 
 def row_name(id: str, url: str, payload: str) -> Column:
-    return F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("")), F.hex(F.xxhash64(url, payload))).alias("row")
+    """Id and a hash of the other two columns, nulls and their places included."""
+    marked = [x for c in (url, payload) for x in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    return F.concat_ws(":", F.coalesce(F.col(id).cast("string"), F.lit("")), F.hex(F.xxhash64(*marked))).alias("row")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,21 +91,21 @@ def plan_revisits(digested: DataFrame, least: int = 0) -> DataFrame:
     """digested with refers_to and refers_row: of equal payloads of at least ``least`` bytes the record with the largest id keeps the payload.
 
     Null for records that hold their payload. Ties on the id go to the larger row hash, null ids come last.
-    Copies are combined in each task before the shuffle.
+    Copies are combined in each task before the shuffle. ``held_once`` says that further rows equal to this one refer to it, or to what it refers to.
     """
     best = F.struct("record_id", "row")
     keeper = digested.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max(best).alias("__keeper"))
     out = digested.join(keeper, ["payload_digest", "payload_bytes"], "left")
     other = F.col("__keeper").isNotNull() & ~best.eqNullSafe(F.col("__keeper"))
     refers = lambda c: F.when(other, F.col("__keeper")[c]).alias(f"refers_{c}")
-    return out.select(*digested.columns, other.alias("revisit"), refers("record_id"), refers("row"))
+    return out.select(*digested.columns, other.alias("revisit"), refers("record_id"), refers("row"), (F.col("payload_bytes") >= least).alias("held_once"))
 
 
 # Files ----------------------------------------------------------------------------------------
 
 
-def _urn(row: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, row)}>"
+def _urn(row: str, copy: int = 0) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{row}#{copy}' if copy else row)}>"
 
 
 class _Archive:
@@ -141,13 +143,13 @@ class _Archive:
             self.fs.delete_file(self.attempt)
 
 
-def _headers(r: dict) -> tuple[list[tuple[str, str]], bytes]:
-    """WARC header fields and the HTTP header that opens the block."""
+def _headers(r: dict, copy: int = 0) -> tuple[list[tuple[str, str]], bytes]:
+    """WARC header fields and the HTTP header that opens the block, for a row or one of its further copies."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {r['payload_bytes']}\r\n\r\n".encode()
     uri = "".join(c if c > " " else f"%{ord(c):02X}" for c in r["url"] or "")
     number = lambda x: "" if x is None else str(x)
     out = [
-        ("WARC-Type", "revisit" if r["revisit"] else "response"), ("WARC-Record-ID", _urn(r["row"])), ("WARC-Date", DATE), ("WARC-Target-URI", uri),
+        ("WARC-Type", "revisit" if r["revisit"] else "response"), ("WARC-Record-ID", _urn(r["row"], copy)), ("WARC-Date", DATE), ("WARC-Target-URI", uri),
         ("X-Record-Number", number(r["record_id"])), ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"), ("Content-Type", "application/http; msgtype=response"),
     ]
     if r["revisit"]:
@@ -160,27 +162,45 @@ def _write(folder: str, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, archive, before = TaskContext.get().partitionId(), None, None
         files: list[str] = []
+        now, payload = None, bytearray()  # the record being written, and its payload if its copies repeat it
+
+        def finish() -> None:
+            if now is None:
+                return
+            archive.end()
+            for copy in range(1, now["copies"]):
+                if now["held_once"]:
+                    refers = now if now["revisit"] else now | {"revisit": True, "refers_row": now["row"], "refers_record_id": now["record_id"]}
+                    archive.begin(*_headers(refers, copy))
+                else:
+                    archive.begin(*_headers(now, copy))
+                    archive.put(payload)
+                archive.end()
+
         for batch in batches:
             fields = batch.drop_columns(["data"])
             for r, data in zip(fields.to_pylist(), batch.column("data")):
                 here = (r["row"], r["chunk_no"])
                 if here == before:
-                    continue  # a row that repeats another in every column
+                    continue  # of a row that repeats another in every column
                 before = here
                 if r["chunk_no"] == 0:
-                    if archive is not None:
-                        archive.end()
-                        if archive.size >= file_bytes:
-                            archive.close()
-                            archive = None
+                    finish()
+                    if archive is not None and archive.size >= file_bytes:
+                        archive.close()
+                        archive = None
                     if archive is None:
                         archive = _Archive(folder, f"part-{task:06d}-{len(files):05d}.warc.gz")
                         files.append(archive.final)
+                    now = r
+                    payload.clear()
                     archive.begin(*_headers(r))
                 if not r["revisit"]:
                     archive.put(data.as_buffer())
+                    if r["copies"] > 1 and not r["held_once"]:
+                        payload += data.as_buffer()
         if archive is not None:
-            archive.end()
+            finish()
             archive.close()
         yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], ["file"])
 
@@ -190,10 +210,13 @@ def _write(folder: str, file_bytes: int):
 def write_archives(chunks: DataFrame, records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write WARC files below ``folder`` and give their names.
 
-    ``records`` is what :func:`plan_revisits` gives, with url. Of records that only refer, the first chunk stands for the
+    ``records`` is what :func:`plan_revisits` gives, with url and copies, the number of equal rows: as many records are written, of which one
+    holds the payload unless it is too short to be referred to (such a payload is held while its copies are written). Of records that only refer, the first chunk stands for the
     record, without its bytes. A task writes chunks as they come, each file under a name of the attempt, and renames
     it when complete, so a lost or repeated task leaves no half file under a final name.
     """
+    if "copies" not in records.columns:
+        records = records.withColumn("copies", F.lit(1))
     uri = folder if "://" in folder else f"file://{folder}" if folder.startswith("/") else folder.replace("file:/", "file:///", 1)
     fs, base = pafs.FileSystem.from_uri(uri)
     fs.create_dir(base, recursive=True)
@@ -308,11 +331,12 @@ def archive_folder(spark: SparkSession) -> str:
 def archive(pages: DataFrame, folder: str, id: str = "page_id", payload: str = "html", url: str = "url", least: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Write a record for each row (see :func:`plan_revisits` for which hold their payload); gives the files.
 
-    Null payloads and urls are empty, a null id is a record without a number. Rows that repeat an id are records of their own; rows
-    equal in id, url and payload are one record. An empty table writes no file; other columns are not read.
+    Null payloads and urls are empty, a null id is a record without a number. Rows that repeat an id, or another row in every column, are
+    records of their own. An empty table writes no file; other columns are not read.
     """
     chunks = chunks_of(pages, id, payload, url, chunk)
-    records = plan_revisits(cut_lineage(digests(chunks).distinct()), least)
+    counted = digests(chunks).groupBy("record_id", "row", "payload_bytes", "payload_digest").agg(F.count(F.lit(1)).alias("copies"))
+    records = plan_revisits(cut_lineage(counted), least)
     urls = pages.select(row_name(id, url, payload), F.col(url).alias("url")).distinct()
     return write_archives(chunks, records.join(urls, "row"), folder)
 

@@ -62,13 +62,32 @@ def test_repeated_null_and_empty(spark, tmp_path):
     rows = [(1, "u", "same"), (1, "u", "same"), (1, "v", "same"), (1, "u", "other"), (None, "u", "same"), (None, None, None)]
     W.archive(spark.createDataFrame(rows, PAGES), str(tmp_path / "a"))
     got = W.payload_table(W.read_archives(spark, str(tmp_path / "a"))).collect()
-    assert len(got) == 5
-    assert sorted((str(r.record_id), r.record_type) for r in got) == [("1", "response"), ("1", "response"), ("1", "revisit"), ("None", "response"), ("None", "revisit")]
+    assert sorted((str(r.record_id), r.record_type) for r in got) == [
+        ("1", "response"), ("1", "response"), ("1", "revisit"), ("1", "revisit"), ("None", "response"), ("None", "revisit")]
     assert all(r.payload_bytes is not None for r in got)
     W.archive(spark.createDataFrame([], PAGES), str(tmp_path / "b"))
     assert W.payload_table(W.read_archives(spark, str(tmp_path / "b"))).count() == 0
 
 
+@pytest.mark.parametrize("least,chunk", [(0, 3), (6, 3), (6, 64)])
+def test_a_record_for_each_row(spark, tmp_path, least, chunk):
+    """Rows that swap null and text, and rows repeated many times, whose payloads are long and short."""
+    rows = [(1, None, "a"), (1, "a", None), (1, "", "a"), (1, "a", "")] + [(2, "u", "long enough")] * 5 + [(3, "u", "tiny")] * 4 + [(3, None, None)] * 3 + [(4, "u", "long enough")] * 2
+    W.archive(spark.createDataFrame(rows, PAGES).repartition(4), str(tmp_path / "w"), least=least, chunk=chunk)
+    read = W.read_archives(spark, str(tmp_path / "w"), chunk=chunk)
+    got = W.payload_table(read).collect()
+    assert sorted(r.record_id for r in got) == sorted(i for i, _, _ in rows)
+    assert read.select("urn").distinct().count() == len(rows)
+    sizes = groups((r.record_id, r.payload_bytes) for r in got)
+    for i in (1, 2, 3, 4):
+        assert sorted(sizes[i]) == sorted(len(h or "") for j, _, h in rows if j == i)
+    for text in ("long enough", "tiny", "a", ""):
+        digest = base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
+        held = [r for r in got if r.payload_digest == digest and r.record_type == "response"]
+        assert len(held) == (1 if len(text) >= least else sum((h or "") == text for _, _, h in rows))
+    assert all(r.refers_to == 4 for r in got if r.record_type == "revisit" and r.record_id in (2, 4))
+
+
 def test_files_roll_and_a_repeated_task_changes_nothing(spark, tmp_path):
     rows = [(i, "u", hashlib.sha256(str(i).encode()).hexdigest() * 20) for i in range(40)]
     df, folder = spark.createDataFrame(rows, PAGES), str(tmp_path / "w")
