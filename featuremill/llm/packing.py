@@ -24,7 +24,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on
 
 LENGTH, OPEN, FAN_IN, END = 2048, 64, 32, 1
 #: Text that is encoded at a time, and bytes of words whose ids a worker keeps, between tasks too.
-SLICE_BYTES, KNOWN_BYTES = 16 << 20, 32 << 20
+SLICE_BYTES, KNOWN_BYTES = 4 << 20, 16 << 20
 
 # White space as the tokenizer's pattern sees it, and letters that every version of Unicode has as such.
 _WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
