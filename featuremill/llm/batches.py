@@ -34,6 +34,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
 
 
+def without(rows: DataFrame, made: list[str], needed: list[str]) -> DataFrame:
+    """Rows without the columns that an operator is about to make; fails when it needs to read one of them."""
+    if clash := set(made) & set(needed):
+        raise ValueError(f"columns {sorted(clash)} are read and cannot be made too")
+    return rows.drop(*made)
+
+
 def hash_fraction(*cols: Column | str) -> Column:
     """A stable number in [0, 1) from a row's values, for bounded samples."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))

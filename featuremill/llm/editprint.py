@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .batches import slices
+from .batches import bounded_sample, slices, without
 from .linking import components, deal_blocks, forest
 
 #: Samples of a fingerprint, one byte each; output characters that a sample covers; period and classes of the coins.
@@ -181,8 +181,15 @@ def _ranges(docs: DataFrame, id: str) -> DataFrame:
     its last one, and nothing else is copied.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.agg(F.min(id).alias("low"), F.percentile_approx(id, [(i + 1) / (parts + 1) for i in range(parts)], 20000).alias("cuts"), F.count_if(F.col(id).isNull()).alias("gaps")).first()
-    cuts = sorted(set(found["cuts"] or []) - {found["low"]})
+    ranks = [(i + 1) / (parts + 1) for i in range(parts)]
+    if docs.schema[id].dataType.simpleString() == "string":  # bounds only deal the rows out, so a sample gives them
+        found = docs.agg(F.min(id).alias("low"), F.count_if(F.col(id).isNull()).alias("gaps")).first()
+        some = sorted(x[0] for x in bounded_sample(docs.select(id).filter(F.col(id).isNotNull()), 20_000, id).collect())
+        at = [some[int(len(some) * x)] for x in ranks] if some else []
+    else:
+        found = docs.agg(F.min(id).alias("low"), F.percentile_approx(id, ranks, 20000).alias("cuts"), F.count_if(F.col(id).isNull()).alias("gaps")).first()
+        at = found["cuts"] or []
+    cuts = sorted(set(at) - {found["low"]})
     heads = ([] if found["gaps"] else [found["low"]]) + cuts
     if found["gaps"] and found["low"] is not None:
         cuts = [found["low"], *cuts]  # missing ids are a range of their own, the first
@@ -235,11 +242,13 @@ def compare_with_next(docs: DataFrame, text: str = "text", id: str = "doc_id") -
     its ranges in order and computes every fingerprint once, but for the first of each range.
 
     Null texts are empty. Null ids come first. Rows that repeat an id follow one another by text. A single document is its own
-    next. An empty table gives no rows; other columns are not read.
+    next. Ids that are not int or long are compared and returned as strings. An empty table gives no rows; other columns are not read.
     """
     kind = docs.schema[id].dataType.simpleString()
-    rows = _ranges(docs.select(F.col(id), F.coalesce(text, F.lit("")).alias("text")), id)
-    id_type = pa.int64() if kind == "bigint" else pa.int32()
+    name = F.col(id) if kind in ("bigint", "int") else F.col(id).cast("string")
+    kind = kind if kind in ("bigint", "int") else "string"
+    rows = _ranges(docs.select(name.alias("id"), F.coalesce(text, F.lit("")).alias("text")), "id")
+    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     out = rows.mapInArrow(_chain(id_type), f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("id", id)
 
@@ -247,20 +256,23 @@ def compare_with_next(docs: DataFrame, text: str = "text", id: str = "doc_id") -
 # Near groups ----------------------------------------------------------------------------------
 
 
-def near_groups(prints: DataFrame, id: str = "doc_id", fp: str = "fingerprint", bands: int = 16, least: float = 0.8) -> DataFrame:
+def near_groups(prints: DataFrame, id: str = "doc_id", fp: str = "fingerprint", bands: int = 32, least: float = 0.8) -> DataFrame:
     """Rows with component_id: the smallest id reachable through fingerprints that are at least ``least`` alike.
 
     Bands are runs of sampled bytes. Fingerprints that share a band are compared in full, in groups of bounded size,
-    and each group gives a spanning forest. Equal fingerprints are one node, so copies make no pairs. With 16 bands of 8
-    bytes, two texts at likeness 0.9 share a band with probability 0.9999, at 0.8 with 0.95. Rows without a
-    fingerprint keep their own id.
+    and each group gives a spanning forest. Equal fingerprints are one node, so copies make no pairs. With 32 bands of 4
+    bytes, two fingerprints that are 0.8 alike share no band with probability 5e-8. Rows without a
+    fingerprint keep their own id; a column named component_id is replaced.
     """
+    prints = without(prints, ["component_id"], [id, fp])
     nodes = cut_lineage(prints.filter(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("f")).agg(F.min(id).alias("low")))
+    nodes = cut_lineage(nodes.withColumn("number", F.monotonically_increasing_id()))
     width = 2 * SAMPLES // bands
     cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substr("f", b * width + 1, F.lit(width))))
-    keys = nodes.select("f", F.explode(cut).alias("key"))
+    keys = nodes.select("number", F.explode(cut).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    dealt = deal_blocks(keys.join(shared, "key"), "f", BLOCK)
+    # Only numbers are dealt by band; the fingerprints join where a band is shared.
+    dealt = deal_blocks(cut_lineage(keys.join(shared, "key")), "number", BLOCK).join(nodes.select("number", "f"), "number")
 
     def links(_: tuple, group: pa.Table) -> pa.Table:
         names = group.column("f").to_pylist()

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 
 
 def forest(n: int, close: Callable[[int, int], np.ndarray], rows: int = 256) -> list[tuple[int, int]]:
@@ -38,21 +38,31 @@ def deal_blocks(keys: DataFrame, member: str, block: int) -> DataFrame:
     return keys.join(hot, "key", "left").select("key", F.explode(pairs).alias("pq"), member).select("key", "pq.p", "pq.q", member)
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Neighbours of a node that one task meets with the smallest of them.
+LEAVES = 512
+
+
+def components(links: DataFrame, leaves: int = LEAVES) -> DataFrame:
     """(node, root): the smallest node of each connected component with at least one link.
 
-    Large-star and small-star rounds until the links no longer change. Each round is stored; only a count
-    and a checksum reach the driver.
+    Large-star and small-star rounds until the links no longer change. A node with more than ``leaves`` neighbours has them dealt over as many
+    salts as needed. Each round is stored, and the one before it removed; only a count and a checksum reach the driver.
     """
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), F.ceil(F.col("n") / leaves).cast("int").alias("salts")))
+        hubs = cut_lineage(least.filter("salts > 1").select("u", "salts"))
+        one = F.lit(1)
+        dealt = both.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("salts", one)).cast("int").alias("salt"))
+        each = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        large = dealt.join(each, ["u", "salt"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        old, edges = edges, cut_lineage(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        for table in (old, least, hubs):
+            release(table)
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

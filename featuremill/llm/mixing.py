@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import null_safe_join
 from ..operators.ordered import row_rank
 from ..session import cut_lineage
-from .batches import WORD
+from .batches import WORD, without
 
 #: Hash cells hold about so many documents; the cell a source's cut falls into is the only one that is sorted.
 ROWS_PER_CELL = 2000
@@ -60,8 +60,9 @@ def mix(docs: DataFrame, size: str, id: str = "doc_id", source: str = "source",
     size. The cut is found from sums per hash cell, and only the cell with the cut is sorted.
 
     A null source is a source. Sizes of zero take nothing. Rows that repeat an id share a hash and are told apart by
-    size; equal ones are interchangeable. An empty table gives no rows; other columns pass through.
+    size; equal ones are interchangeable. An empty table gives no rows; other columns pass through, but those named like the three made here are replaced.
     """
+    docs = without(docs, ["source_size", "target", "taken"], [size, id, source])
     rows = docs.withColumn("__size", F.col(size).cast("long"))
     sizes = cut_lineage(rows.groupBy(F.col(source).alias("source")).agg(F.sum("__size").alias("size"), F.count(F.lit(1)).alias("__rows")))
     weighed = cut_lineage(weigh_in_turn(sizes.select("source", "size"), weights or [5, 2, 1]))

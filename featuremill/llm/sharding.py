@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import row_rank
+from .batches import without
 
 # Fixed values of the published generator.
 MULTIPLIER = np.uint64(2862933555777941757)
@@ -48,8 +49,9 @@ def assign_shards(rows: DataFrame, keys: list[str], shards: int, shard: str = "s
     The shard depends on the keys and the number of shards alone, so appending a shard moves rows into
     the new one only. Places come from ranges of (shard, keys) and one count per range, so a shard is
     never sorted in one task. Null keys are a value of their own and come last; rows that repeat a key get
-    neighbouring places in any order; an empty table gives no rows; other columns pass through.
+    neighbouring places in any order; an empty table gives no rows; other columns pass through, but those named like the two made here are replaced.
     """
+    rows = without(rows, [shard, slot], keys)
     placed = rows.withColumn(shard, shard_of(shards, *keys))
     return row_rank(placed, keys, slot, keys=[shard]).withColumn(slot, F.col(slot) - 1)
 

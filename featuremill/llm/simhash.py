@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import null_safe_join
 from ..session import cut_lineage
+from .batches import without
 from .linking import components, deal_blocks, forest
 
 # Generator polynomial of the (23, 12, 7) Golay code, and the hash seed of the fingerprint.
@@ -204,8 +205,9 @@ def group_near(rows: DataFrame, fp: str = "fp", id: str = "doc_id") -> DataFrame
 
     Equal fingerprints are one node, so copies never make pairs. The fingerprint zero of texts without
     words links like any other. Null ids count as missing: they never name a component unless it has no
-    other. An empty table gives no rows; other columns pass through.
+    other. An empty table gives no rows; other columns pass through, but one named component_id is replaced.
     """
+    rows = without(rows, ["component_id"], [fp, id])
     nodes = cut_lineage(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(id).alias("low")))
     roots = components(near_links(nodes)).withColumnRenamed("node", "fp")
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -220,9 +222,8 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     Null texts count as empty, and all texts without words are one group. Rows that repeat the smallest id leave the
     smallest row by the other columns.
     """
-    marked = cut_lineage(docs.withColumn("__fp", fingerprint(F.col(text))))
-    grouped = group_near(marked, "__fp", id).filter(F.col(id).eqNullSafe(F.col("component_id")))
-    first = grouped.groupBy(F.col("component_id").alias("__group"), F.when(F.col("component_id").isNull(), F.col("__fp")).alias("__of")).agg(
-        F.min(F.struct(*docs.columns)).alias("__row")
-    )
+    row = F.struct(*[F.col(c) for c in docs.columns])  # apart from the columns made here, whatever its names are
+    marked = cut_lineage(docs.select(F.col(id).alias("__id"), fingerprint(F.col(text)).alias("__fp"), row.alias("__row")))
+    grouped = group_near(marked, "__fp", "__id").filter(F.col("__id").eqNullSafe(F.col("component_id")))
+    first = grouped.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("__fp")).alias("__of")).agg(F.min("__row").alias("__row"))
     return first.select("__row.*")

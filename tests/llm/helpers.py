@@ -26,7 +26,8 @@ def awkward(spark, extra=True):
     if extra:
         from pyspark.sql import functions as F
 
-        for c in ("key", "size", "fp", "id", "u", "v", "range", "ahead", "n", "digest", "content", "cell", "label", "open", "start", "kept"):
+        for c in ("key", "size", "fp", "id", "u", "v", "range", "ahead", "n", "digest", "content", "cell", "label", "open", "start", "kept", "component_id", "target", "taken", "source_size", "shard", "slot", "fingerprint",
+                  "number", "row", "salt", "salts", "keep_id", "group_size", "score", "rank", "matches", "n_words", "sequence_id", "offset", "length", "token_ids", "near_next", "grown_shard"):
             df = df.withColumn(c, F.lit(c))
     return df
 

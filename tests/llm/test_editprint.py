@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from featuremill.llm import editprint as E
 
-from .helpers import awkward, column_rows, empty
+from .helpers import Union, awkward, column_rows, empty
 
 
 def slow_print(text):
@@ -93,6 +93,37 @@ def test_awkward_and_empty(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_string_ids(spark):
+    rows = [(f"d{i}", f"text of {i} " * (i % 5)) for i in range(30)] + [(None, "x")]
+    got = E.compare_with_next(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or ""))
+    want = {}
+    for (d, t), (_, n) in zip(order, order[1:] + order[:1]):
+        want[d] = hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest()
+    assert {r.doc_id: r.edited_sha256 for r in got} == want
+
+
+def test_groups_against_all_pairs(spark, sf):
+    """Every pair at 0.8 or more is linked, and no other."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(9)
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    for d, t in texts[:60]:
+        for n in (2, 8, 30):
+            edited = list(t)
+            for _ in range(n if t else 0):
+                edited[rng.randrange(len(edited))] = rng.choice("qz")
+            texts.append((10_000 + 100 * d + n, "".join(edited)))
+    prints = E.fingerprints([t for _, t in texts])
+    up = Union()
+    for i in range(len(texts)):
+        for j in np.flatnonzero(E.likeness(prints[i], prints) >= 0.8):
+            up.join(texts[i][0], texts[int(j)][0])
+    df = spark.createDataFrame([(d, p.tobytes().hex(), "x") for (d, _), p in zip(texts, prints)], "doc_id long, fingerprint string, component_id string")
+    got = {r.doc_id: r.component_id for r in E.near_groups(df).collect()}
+    assert got == {d: up.find(d) for d, _ in texts} and len(set(got.values())) < len(texts) - 60
+
+
 def test_near_groups(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice("abcdefghij ") for _ in range(600)) for _ in range(30)]

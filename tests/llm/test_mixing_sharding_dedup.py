@@ -51,7 +51,7 @@ def test_sharding_query(spark, sf):
 def test_sharding_awkward_and_empty(spark, tmp_path):
     df = awkward(spark)
     out = S.assign_shards(df, ["doc_id"], 3)
-    assert out.count() == df.count() and set(df.columns) < set(out.columns)
+    assert out.count() == df.count() and set(df.columns) == set(out.columns) and {r.slot for r in out.collect()} != {"slot"}
     for own in groups((r.shard, r.slot) for r in out.collect()).values():
         assert sorted(own) == list(range(len(own)))
     assert S.assign_shards(empty(spark), ["doc_id"], 3).count() == 0
@@ -155,7 +155,10 @@ def test_mix_against_plain(spark, sf, monkeypatch, cell):
 def test_mix_awkward_and_empty(spark):
     df = awkward(spark).withColumn("words", M.word_count(F.col("text")))
     out = M.mix(df, "words")
-    assert out.columns == [*df.columns, "source_size", "target", "taken"] and out.count() == df.count()
+    made = ["source_size", "target", "taken"]
+    assert out.columns == [*[c for c in df.columns if c not in made], *made] and out.count() == df.count()
+    with pytest.raises(ValueError):
+        M.mix(df, "taken")
     target, taken = plain_mix([(r.doc_id, r.source, r.words) for r in df.collect()])
     for r in out.collect():
         assert r.target == pytest.approx(target[r.source]) and r.taken in taken[(r.doc_id, r.source)]
