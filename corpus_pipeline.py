@@ -28,8 +28,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents left out, taken, taken twice, or taken in part."""
-    sized = docs.withColumn("__words", mixing.word_count(F.col("text")))
-    return mixing.repeat_mixed(mixing.mix(sized, "__words"), "__words", n_chars="n_chars").select(*docs.columns)
+    used = ["doc_id", "text", "source", "n_chars"]
+    rest = [c for c in docs.columns if c not in used]  # apart from the columns that the mix makes, whatever their names are
+    sized = docs.select(*used, F.struct(F.lit(0).alias("__"), *[F.col(c) for c in rest]).alias("__other"), mixing.word_count(F.col("text")).alias("__words"))
+    mixed = mixing.repeat_mixed(mixing.mix(sized, "__words"), "__words", n_chars="n_chars")
+    return mixed.select(*[F.col(c) if c in used else F.col("__other").getField(c).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
