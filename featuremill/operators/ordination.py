@@ -1,14 +1,15 @@
-"""Principal components, distances and neighbours of samples.
+"""Principal components, distances and neighbours of samples and of points.
 
-The only quantity computed over features is the sample x sample product matrix. Each task adds up
-the products of its own features with one matrix multiplication per batch and emits one partial
-matrix, so what is shuffled depends on the number of samples, not of features.
+With few columns, what is computed over features is the column x column product matrix: each task adds up the products of its own
+features and emits one partial matrix. Beyond MAX_SIDE columns there is no such matrix in any task: distances come from products of
+pairs of column tiles, components from a block iteration that only multiplies by tall blocks.
 """
 
 from __future__ import annotations
 
+import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,8 @@ from .vectors import feature_vectors, sample_order
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_SIDE = 4096
+#: Columns up to which a task may hold a whole matrix, and columns of a tile beyond.
+MAX_SIDE, TILE = 4096, 1024
 
 
 def _products(column: str, center: bool, scale: bool):
@@ -49,7 +51,7 @@ def _products(column: str, center: bool, scale: bool):
 
 
 def product_matrix(vectors: DataFrame, column: str, center: bool = False, scale: bool = False) -> DataFrame:
-    """Sum over rows of the outer product of ``column`` with itself, as (i, j, value) with i <= j."""
+    """Sum over rows of the outer product of ``column`` with itself, as (i, j, value) with i <= j; at most MAX_SIDE columns."""
     return (
         vectors.select(column)
         .mapInPandas(_products(column, center, scale), "i int, j int, value double")
@@ -58,6 +60,54 @@ def product_matrix(vectors: DataFrame, column: str, center: bool = False, scale:
     )
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _tile_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Products of two tiles, added up over runs of equal (a, b, g): a row for each column of the first tile."""
+
+    def out(key: tuple, total: np.ndarray) -> pa.RecordBatch:
+        n = len(total)
+        same = [pa.array([x] * n, pa.int32()) for x in key[:2]]
+        return pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["a", "b", "r", "cells"])
+
+    key, total = None, None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if s == e:
+                continue
+            here = tuple(keys[s].tolist())
+            if here != key:
+                if key is not None:
+                    yield out(key, total)
+                key, total = here, 0.0
+            total = total + _matrix(batch.column(3).slice(s, e - s)).T @ _matrix(batch.column(4).slice(s, e - s))
+    if key is not None:
+        yield out(key, total)
+
+
+def product_tiles(vectors: DataFrame, column: str, side: int, tile: int = TILE, groups: int = 8) -> DataFrame:
+    """(i, j, value) with i <= j, as :func:`product_matrix` gives, for any number of columns.
+
+    Columns are cut into tiles. A task has a pair of tiles and a share (``groups``) of the rows, streams their two parts of each row, and
+    holds one tile x tile matrix; the shares are added up afterwards. A row's cells travel once for each tile.
+    """
+    n = math.ceil(side / tile)
+    part = lambda k: F.slice(F.col(column), k * tile + 1, F.lit(tile))
+    firsts = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("a")
+    dealt = vectors.select(F.pmod(F.xxhash64(column), F.lit(groups)).cast("int").alias("g"), F.col(column), firsts)
+    dealt = dealt.select("a", "g", column, F.explode(F.sequence(F.col("a"), F.lit(n - 1))).alias("b"))
+    rows = dealt.select("a", "b", "g", part(F.col("a")).alias("x"), part(F.col("b")).alias("y")).repartition("a", "b", "g").sortWithinPartitions("a", "b", "g")
+    sums = rows.mapInArrow(_tile_products, "a int, b int, r int, cells array<double>")
+    cells = sums.select((F.col("a") * tile + F.col("r")).alias("i"), F.col("b") * tile, F.posexplode("cells").alias("c", "value"))
+    cells = cells.select("i", (F.col(cells.columns[1]) + F.col("c")).alias("j"), "value").filter("i <= j")
+    return cells.groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+
 def _components(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["i"].max()) + 1
@@ -90,10 +140,112 @@ def eigen(matrix: DataFrame, k: int) -> DataFrame:
     )
 
 
-def pca_samples(long: DataFrame, samples: DataFrame, value: str, k: int = 5, scale: bool = False) -> DataFrame:
-    """Scores of samples when features are the variables: (sample, component, score, proportion)."""
-    vectors = feature_vectors(long, samples, value, "x")
-    parts = eigen(product_matrix(vectors, "x", center=True, scale=scale), k)
+# Components without a matrix --------------------------------------------------------------------
+
+
+def _ready(center: bool, scale: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            if x.size and center:
+                x = x - x.mean(axis=1, keepdims=True)
+            if x.size and scale:
+                sd = x.std(axis=1, ddof=1, keepdims=True)
+                x = np.divide(x, sd, out=np.zeros_like(x), where=sd > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), pa.array((x**2).sum(axis=1) if x.size else [], pa.float64())], ["x", "norm"])
+
+    return run
+
+
+def _apply(block: np.ndarray):
+    """This task's part of X'X block: a row for each column, with as many sums as the block is wide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            if x.size:
+                y = x.T @ (x @ block)
+                total = y if total is None else total + y
+        if total is not None:
+            for s in range(0, len(total), 4096):
+                part = total[s : s + 4096]
+                arrays = [pa.array(np.arange(s, s + len(part), dtype=np.int32)), *[pa.array(np.ascontiguousarray(part[:, c])) for c in range(part.shape[1])]]
+                yield pa.RecordBatch.from_arrays(arrays, ["i", *[f"y{c}" for c in range(part.shape[1])]])
+
+    return run
+
+
+def block_eigen(apply: Callable[[np.ndarray], np.ndarray], side: int, k: int, tolerance: float = 1e-9, keep: int = 12, max_rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Leading eigenvalues and vectors of a symmetric matrix known only by its products with blocks of k columns.
+
+    Each round multiplies one new block, solves the small problem on all blocks held, and takes what is left over of the k vectors as
+    the next block. ``keep`` blocks are held at most; then the best two blocks' worth of vectors start anew. Fails if the residuals do not fall
+    below ``tolerance`` of the largest value in ``max_rounds``.
+    """
+    k = min(k, side)
+    new = np.linalg.qr(np.random.default_rng(7).normal(size=(side, k)))[0]
+    basis, image = np.zeros((side, 0)), np.zeros((side, 0))
+    for _ in range(max_rounds):
+        basis, image = np.hstack([basis, new]), np.hstack([image, apply(new)])
+        small = basis.T @ image
+        values, w = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-values)
+        values, w = values[order], w[:, order]
+        u, au = basis @ w[:, :k], image @ w[:, :k]
+        rest = au - u * values[:k]
+        left = np.linalg.norm(rest, axis=0)
+        if left.max() <= tolerance * max(values[0], 1e-300) or basis.shape[1] >= side:
+            return values[:k], u
+        if basis.shape[1] >= keep * k:
+            basis, image = basis @ w[:, : 2 * k], image @ w[:, : 2 * k]
+        # Vectors that have settled leave only rounding, which is no direction to go on in.
+        new = rest[:, left > tolerance / 10 * values[0]] / left[left > tolerance / 10 * values[0]]
+        for _ in range(3):
+            new = np.linalg.qr(new - basis @ (basis.T @ new))[0]
+        new = new[:, : side - basis.shape[1]]
+    raise ValueError(f"components do not settle in {max_rounds} rounds")
+
+
+def iterated_components(vectors: DataFrame, column: str, k: int, side: int, center: bool = True, scale: bool = False) -> DataFrame:
+    """(component, i, vector, eigenvalue, total) as :func:`eigen` gives, without a side x side matrix.
+
+    The driver and each task hold blocks of k columns of length ``side``: as much as a few rows of the input. A round is one pass
+    over the stored rows.
+    """
+    spark = vectors.sparkSession
+    ready = cut_lineage(vectors.select(F.col(column).cast("array<double>")).mapInArrow(_ready(center, scale), "x array<double>, norm double"))
+    total = ready.agg(F.sum("norm")).first()[0] or 0.0
+
+    def apply(block: np.ndarray) -> np.ndarray:
+        width = block.shape[1]
+        names = [f"y{c}" for c in range(width)]
+        sums = ready.select("x").mapInArrow(_apply(block), "i int, " + ", ".join(f"{c} double" for c in names)).groupBy("i").agg(*[F.sum(c).alias(c) for c in names])
+        got = sums.toPandas()
+        out = np.zeros((side, width))
+        out[got["i"].to_numpy()] = got[names].to_numpy()
+        return out
+
+    values, v = block_eigen(apply, side, k)
+    v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
+    n = len(values)
+    table = pd.DataFrame({
+        "component": np.repeat(np.arange(1, n + 1), side).astype(np.int32), "i": np.tile(np.arange(side), n).astype(np.int32), "vector": v.T.ravel(),
+        "eigenvalue": np.repeat(np.maximum(values, 0.0), side), "total": float(total),
+    })
+    return spark.createDataFrame(table, "component int, i int, vector double, eigenvalue double, total double")
+
+
+def pca_samples(long: DataFrame, samples: DataFrame, value: str, k: int = 5, scale: bool = False, max_side: int = MAX_SIDE) -> DataFrame:
+    """Scores of samples when features are the variables: (sample, component, score, proportion).
+
+    Up to ``max_side`` samples by their product matrix, beyond by :func:`iterated_components`.
+    """
+    vectors, side = feature_vectors(long, samples, value, "x"), samples.select("sample").distinct().count()
+    if side <= max_side:
+        parts = eigen(product_matrix(vectors, "x", center=True, scale=scale), k)
+    else:
+        parts = iterated_components(vectors, "x", k, side, True, scale)
     named = parts.withColumn("sample", F.element_at(sample_order(samples), F.col("i") + 1))
     return named.select(
         "sample",
@@ -134,12 +286,19 @@ def explained_variance(scores: DataFrame) -> DataFrame:
     return per.withColumn("cumulative", F.sum("proportion").over(w))
 
 
-def pairwise_distance(long: DataFrame, samples: DataFrame, value: str) -> DataFrame:
-    """Euclidean distance of every pair of samples (a < b), read off the product matrix.
+def pairwise_distance(long: DataFrame, samples: DataFrame, value: str, max_side: int = MAX_SIDE, tile: int = TILE) -> DataFrame:
+    """Euclidean distance of every pair of samples (a < b), read off the products of their columns.
 
-    Features are centred over the samples first, which leaves distances as they are and keeps their digits.
+    Features are centred over the samples first, which leaves distances as they are and keeps their digits. Beyond ``max_side`` samples the products
+    come from pairs of column tiles.
     """
-    products = product_matrix(feature_vectors(long, samples, value, "x"), "x", center=True)
+    vectors, side = feature_vectors(long, samples, value, "x"), samples.select("sample").distinct().count()
+    if side <= max_side:
+        products = product_matrix(vectors, "x", center=True)
+    else:
+        mean = F.aggregate("x", F.lit(0.0), lambda s, t: s + t) / F.size("x")
+        centred = vectors.withColumn("m", mean).select(F.transform("x", lambda v: v - F.col("m")).alias("x"))
+        products = cut_lineage(product_tiles(centred, "x", side, tile))
     norms = products.filter(F.col("i") == F.col("j")).select(F.col("i").alias("n"), F.col("value").alias("norm"))
     order = sample_order(samples)
     pairs = (
@@ -168,8 +327,8 @@ def knn_graph(distances: DataFrame, k: int) -> DataFrame:
 
 # Neighbours of many points -------------------------------------------------------------------
 
-#: Points of one block: what a task compares with another block at a time.
-BLOCK = 1024
+#: Points of one block, what a task compares with another block at a time; most pivots, points they are chosen from, and rings of a cell.
+BLOCK, PIVOTS, PIVOT_SAMPLE, RINGS = 1024, 64, 4096, 64
 
 
 def _closest(queries: pa.Table, points: pa.Table, k: int, same: bool) -> pa.Table:
@@ -179,43 +338,113 @@ def _closest(queries: pa.Table, points: pa.Table, k: int, same: bool) -> pa.Tabl
     to = np.array(points.column("v").to_pylist(), float)[order]
     ids, at = np.array(queries.column("id")), np.array(queries.column("v").to_pylist(), float)
     out: list[tuple[np.ndarray, ...]] = []
-    for s in range(0, len(ids), 64):
-        d = np.sqrt(((at[s : s + 64, None, :] - to[None, :, :]) ** 2).sum(axis=2))
+    step = max(1, (1 << 22) // max(1, to.size))
+    for s in range(0, len(ids), step):
+        d = np.sqrt(((at[s : s + step, None, :] - to[None, :, :]) ** 2).sum(axis=2))
         if same:
-            d[ids[s : s + 64, None] == names[None, :]] = np.inf
+            d[ids[s : s + step, None] == names[None, :]] = np.inf
         best = np.argsort(d, axis=1, kind="stable")[:, :k]
         far = np.take_along_axis(d, best, 1)
         keep = np.isfinite(far)
-        out.append((np.repeat(ids[s : s + 64], keep.sum(1)), names[best][keep], far[keep]))
+        out.append((np.repeat(ids[s : s + step], keep.sum(1)), names[best][keep], far[keep]))
     cols = [np.concatenate(c) for c in zip(*out)] if out else [np.array([], names.dtype), np.array([], names.dtype), np.zeros(0)]
     return pa.table({"id": cols[0], "neighbour": cols[1], "distance": cols[2]})
 
 
+def choose_pivots(points: DataFrame, n: int) -> np.ndarray:
+    """n points far from one another, out of PIVOT_SAMPLE at most: each next one is the farthest from those chosen. They decide what is skipped, not what is found."""
+    share = F.xxhash64(F.lit(1), "id")
+    some = np.array([r["v"] for r in points.select("id", "v").orderBy(share, "id").limit(PIVOT_SAMPLE).collect()], float)
+    near, chosen = np.full(len(some), np.inf), [0]
+    while len(chosen) < min(n, len(some)):
+        near = np.minimum(near, np.sqrt(((some - some[chosen[-1]]) ** 2).sum(1)))
+        if near.max() == 0:
+            break
+        chosen.append(int(near.argmax()))
+    return some[chosen]
+
+
+def _to_pivots(pivots: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _matrix(batch.column(1))
+            far = np.stack([np.sqrt(((v - p) ** 2).sum(1)) for p in pivots], axis=1) if v.size else np.zeros((0, len(pivots)))
+            cell = far.argmin(1) if v.size else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(list(far), pa.list_(pa.float64())), pa.array(cell.astype(np.int32)), pa.array(far.min(1) if v.size else [], pa.float64())],
+                ["id", "v", "far", "cell", "x"],
+            )
+
+    return run
+
+
+def _spans(key: tuple, table: pa.Table) -> pa.Table:
+    """Nearest and farthest distance of a block's points to each pivot."""
+    far = np.array(table.column("far").to_pylist(), float)
+    arrays = [pa.array([list(x)], pa.list_(pa.float64())) for x in (far.min(0), far.max(0))]
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), *arrays], names=["cell", "block", "low", "high"])
+
+
+def _widest(key: tuple, table: pa.Table) -> pa.Table:
+    low, high = np.array(table.column("low").to_pylist(), float).min(0), np.array(table.column("high").to_pylist(), float).max(0)
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([list(low)], pa.list_(pa.float64())), pa.array([list(high)], pa.list_(pa.float64()))], names=["cell", "low", "high"])
+
+
+def _index(points: DataFrame, k: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points in blocks, the neighbours inside each block, and the pairs of blocks (q, t) that must be compared."""
+    n = points.count()
+    pivots = choose_pivots(points, min(PIVOTS, max(1, math.ceil(math.sqrt(n / block))))) if n else np.zeros((1, 1))
+    kind = dict(points.dtypes)["id"]
+    placed = points.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(_to_pivots(pivots), f"id {kind}, v array<double>, far array<double>, cell int, x double")
+    ranked = row_rank(placed, ["x", "id"], keys=["cell"])
+    rows = cut_lineage(ranked.select("id", "v", "far", "cell", (F.col("cell").cast("long") * (1 << 32) + F.floor((F.col("rank") - 1) / block)).alias("block")))
+    schema = f"id {kind}, neighbour {kind}, distance double"
+    own = cut_lineage(rows.groupBy("block").applyInArrow(lambda t: _closest(t, t, k, True), schema))
+    # The k-th distance inside the block; a block with too few points must look everywhere.
+    kth = own.groupBy("id").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("d"))
+    reach = rows.select("id", "block").join(kth, "id", "left").groupBy("block").agg(F.max(F.coalesce("d", F.lit(float("inf")))).alias("d"))
+    spans = rows.groupBy("cell", "block").applyInArrow(_spans, "cell int, block long, low array<double>, high array<double>")
+    # Distances are rounded, so a block is skipped only when it is farther by more than that.
+    spans = cut_lineage(spans.join(reach, "block").withColumn("d", F.col("d") * (1 + 1e-9) + 1e-9 * (1 + F.array_max("high"))))
+    cells = spans.groupBy("cell").applyInArrow(_widest, "cell int, low array<double>, high array<double>")
+    # A cell is as little as its pivot's row of distances: at most PIVOTS rows of PIVOTS numbers.
+    every = cells.agg(F.collect_list(F.struct("cell", "low", "high"))).scalar()
+
+    def apart(low, high, low2, high2, d):
+        """Whether some pivot sees the two farther apart than d."""
+        gaps = F.zip_with(F.zip_with(low2, high, lambda a, b: a - b), F.zip_with(low, high2, lambda a, b: a - b), lambda a, b: F.greatest(a, b))
+        return F.coalesce(F.array_max(gaps), F.lit(0.0)) > d
+
+    at = lambda c, i: F.element_at(c, i + 1)
+    ring = lambda x, lo, hi: F.greatest(F.lit(0), F.least(F.lit(RINGS - 1), F.when(hi > lo, F.floor((x - lo) / (hi - lo) * RINGS)).otherwise(F.lit(0)))).cast("int")
+    near = F.filter("every", lambda c: ~apart(F.col("low"), F.col("high"), c["low"], c["high"], F.col("d")))
+    asks = spans.withColumn("every", every).select(F.col("block").alias("q"), "low", "high", "d", F.explode(near).alias("c"))
+    base, top = at(F.col("c.low"), F.col("c.cell")), at(F.col("c.high"), F.col("c.cell"))
+    first, last = ring(at(F.col("low"), F.col("c.cell")) - F.col("d"), base, top), ring(at(F.col("high"), F.col("c.cell")) + F.col("d"), base, top)
+    asks = asks.select("q", "low", "high", "d", F.col("c.cell").alias("cell"), F.explode(F.sequence(first, last)).alias("ring"))
+    own_cell = spans.join(cells.select("cell", F.col("low").alias("cl"), F.col("high").alias("ch")), "cell")
+    base, top = at(F.col("cl"), F.col("cell")), at(F.col("ch"), F.col("cell"))
+    rings = F.sequence(ring(at(F.col("low"), F.col("cell")), base, top), ring(at(F.col("high"), F.col("cell")), base, top))
+    targets = own_cell.select("cell", F.col("block").alias("t"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(rings).alias("ring"))
+    met = asks.join(targets, ["cell", "ring"]).filter("q <> t").filter(~apart(F.col("low"), F.col("high"), F.col("low2"), F.col("high2"), F.col("d")))
+    return rows, own, cut_lineage(met.select("q", "t").distinct())
+
+
 def nearest(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """k nearest others of every point(id, v), exact: (id, neighbour, distance, nth). Ids are whole numbers, and unique.
+    """k nearest others of every point(id, v), exact: (id, neighbour, distance, nth). Ids are whole numbers, and unique; vectors are finite and of one length.
 
-    Points in order of their first coordinate are cut into blocks. A block's own neighbours bound how far the true ones can be, and
-    only blocks that come that near in the first coordinate are compared. Each comparison of two blocks gives k rows per point.
+    Points belong to the cell of the pivot nearest to them, and are cut into blocks by their distance to it. A block's own neighbours bound how far
+    the true ones can be. Another block is compared only if no pivot sees it farther away than that (triangle inequality): first whole
+    cells are ruled out, then rings of a cell, then single blocks. Each comparison of two blocks gives k rows per point.
     """
     if block <= k:
         raise ValueError("a block must hold more points than neighbours are asked for")
-    ranked = row_rank(points.select("id", "v").withColumn("x", F.get("v", F.lit(0)).cast("double")), ["x", "id"])
-    rows = cut_lineage(ranked.select("id", "v", "x", F.floor((F.col("rank") - 1) / block).cast("int").alias("block")))
-    schema = f"id {dict(points.dtypes)['id']}, neighbour {dict(points.dtypes)['id']}, distance double"
-    own = cut_lineage(rows.groupBy("block").applyInArrow(lambda t: _closest(t, t, k, True), schema))
-    # The k-th distance inside the block; a block with too few points must look everywhere.
-    kth = own.groupBy("id").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("d"))
-    reach = rows.join(kth, "id", "left").withColumn("d", F.coalesce("d", F.lit(float("inf"))))
-    spans = reach.groupBy("block").agg(F.min(F.col("x") - F.col("d")).alias("low"), F.max(F.col("x") + F.col("d")).alias("high"), F.min("x").alias("first"), F.max("x").alias("last"))
-    spans = cut_lineage(spans)
-    # One row per block; blocks follow one another, so those within reach are a range of block numbers.
-    edges = spans.agg(F.sort_array(F.collect_list(F.struct("block", "first", "last"))).alias("e")).scalar()
-    near = F.filter("e", lambda e: (e["last"] >= F.col("low")) & (e["first"] <= F.col("high")) & (e["block"] != F.col("block")))
-    pairs = cut_lineage(spans.withColumn("e", edges).select(F.col("block").alias("q"), F.explode(F.transform(near, lambda e: e["block"])).alias("t")))
+    rows, own, pairs = _index(points, k, block)
+    kind = dict(points.dtypes)["id"]
     queries = rows.join(pairs, F.col("block") == F.col("q")).select("q", "t", "id", "v")
     targets = rows.join(pairs, F.col("block") == F.col("t")).select(*[F.col(c).alias(f"{c}2") for c in ("q", "t", "id", "v")])
     both = queries.groupBy("q", "t").cogroup(targets.groupBy("q2", "t2"))
-    other = both.applyInArrow(lambda a, b: _closest(a, b.rename_columns(a.column_names), k, False), schema)
+    other = both.applyInArrow(lambda a, b: _closest(a, b.rename_columns(a.column_names), k, False), f"id {kind}, neighbour {kind}, distance double")
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
     return own.unionByName(other).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import inference as I
 from ..operators import ordination as O
 from ..operators.aggregate import describe, mean_and_sd
+from ..session import cut_lineage
 from .base import COUNTS, design, normal_p_sql, query, r, rs, symbol_counts, table
 from .counts import norm
 
@@ -104,15 +105,22 @@ def knn_graph(spark, sf):
     return out.select("sample", "neighbour", r("distance").alias("distance"), F.col("nth").cast("long").alias("nth"))
 
 
-@query("knn_points", f"""WITH p AS (SELECT vec_id AS id, embedding[1:5]::DOUBLE[] AS v FROM embeddings),
+@query("knn_points", f"""WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 d AS (SELECT x.id, y.id AS neighbour, list_distance(x.v, y.v) AS distance FROM p x JOIN p y ON x.id <> y.id)
 SELECT id, neighbour, {rs('distance', 6)} AS distance, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS nth FROM d QUALIFY nth <= 8""")
 def knn_points(spark, sf):
-    """Neighbours of many points on five coordinates, in blocks."""
-    points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 5).cast("array<double>").alias("v"))
+    """Neighbours of many points by their whole vectors."""
+    points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     return O.nearest(points, 8).select("id", "neighbour", r("distance").alias("distance"), F.col("nth").cast("long").alias("nth"))
 
 
+@query("knn_scores")
+def knn_scores(spark, sf):
+    """Neighbours of many points on their first five components."""
+    scores = O.pca_points(table(spark, sf, "embeddings"), "vec_id", "embedding", k=5)
+    return O.nearest(cut_lineage(scores.select(F.col("vec_id").alias("id"), F.col("scores").alias("v"))), 8)
+
+
 @query("knn_components")
 def knn_components(spark, sf):
     return O.knn_on_components(_logged(spark, sf), design(spark, sf), "x", 8, 5)

@@ -22,6 +22,28 @@ def test_nearest_in_blocks(spark, n, block):
         assert [(j, pytest.approx(d)) for d, j in want] == [(j, d) for _, j, d in sorted(got[i])]
 
 
+@pytest.mark.parametrize("dims,spread,most", [(5, 40.0, 0.35), (64, 1.0, 1.0)])
+def test_pivots_rule_blocks_out(spark, dims, spread, most):
+    """Whole vectors and few scores, in clusters and without: exact, and the share of block pairs that are compared."""
+    rng = np.random.default_rng(dims)
+    x = rng.normal(0, spread, (12, dims))[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, dims))
+    x[10:14] = x[3]
+    df = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    rows, _, pairs = O._index(df, 8, 64)
+    blocks = rows.select("block").distinct().count()
+    share = pairs.count() / (blocks * (blocks - 1))
+    print(f"{dims} dimensions: {share:.2f} of block pairs compared")
+    assert share <= most
+    got = {}
+    for r in O.nearest(df, 8, 64).collect():
+        got.setdefault(r.id, []).append((r.nth, r.neighbour, r.distance))
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    for i in range(1500):
+        want = np.argsort(d[i], kind="stable")[:8]
+        assert [j for _, j, _ in sorted(got[i])] == want.tolist()
+
+
 def test_components_of_samples(spark):
     rows = [(f"f{f}", f"s{s}", float((f * 7 + s * s) % 11)) for f in range(30) for s in range(12)]
     long = spark.createDataFrame(rows, "feature string, sample string, x double")
