@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join in which a missing key matches a missing key. Key columns appear once in the result."""
@@ -46,6 +48,35 @@ def full_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return null_safe_join(left, right, keys, "left").unionByName(alone, allowMissingColumns=True)
 
 
+#: Members of a key up to which one task makes all its pairs.
+HUB = 256
+
+
+def pairs_of_members(rows: DataFrame, key: str, member: str, carry: list[str] | None = None, hub: int = HUB) -> DataFrame:
+    """(key, a, b, and each carried column as ``name_a`` and ``name_b``): every two members a < b of a key, whose rows are unique.
+
+    A key with more than ``hub`` members has them cut into blocks, and each pair of blocks is a key of its own, so no task makes all pairs of a
+    hub. Missing keys and members make no pairs.
+    """
+    carry = carry or []
+    rows = rows.select(F.col(key).alias("__key"), F.col(member).alias("__m"), *carry).filter("__key IS NOT NULL AND __m IS NOT NULL")
+    hubs = cut_lineage(rows.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub).select("__key", F.ceil(F.col("n") / hub).cast("int").alias("blocks")))
+    n = F.coalesce("blocks", F.lit(1))
+    dealt = rows.join(hubs, "__key", "left").withColumn("__own", F.pmod(F.xxhash64("__m"), n).cast("int"))
+
+    def side(name: str, other: Column) -> DataFrame:
+        own, met = ("__p", "__q") if name == "a" else ("__q", "__p")
+        return dealt.select("__key", F.col("__own").alias(own), F.explode(other).alias(met), F.col("__m").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in carry])
+
+    left, right = side("a", F.sequence(F.col("__own"), n - 1)), side("b", F.sequence(F.lit(0), F.col("__own")))
+    met = left.join(right, ["__key", "__p", "__q"]).filter((F.col("__p") != F.col("__q")) | (F.col("a") < F.col("b"))).filter("a <> b")
+    # Members of two blocks meet once, in either order.
+    turned = F.col("a") > F.col("b")
+    swap = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
+    both = [c for name in ["", *[f"{c}_" for c in carry]] for c in (swap(f"{name}a", f"{name}b"), swap(f"{name}b", f"{name}a"))]
+    return met.select(F.col("__key").alias(key), *both)
+
+
 def keep_in(df: DataFrame, col: str, other: DataFrame, other_col: str) -> DataFrame:
     """Rows whose value occurs in the other table's column; a missing value matches a missing value."""
     return null_safe_join(df, other.select(F.col(other_col).alias(col)), [col], "left_semi")
