@@ -24,7 +24,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on
 
 LENGTH, OPEN, FAN_IN, END = 2048, 64, 32, 1
 #: Text that is encoded at a time, and bytes of words whose ids a worker keeps, between tasks too.
-SLICE_BYTES, KNOWN_BYTES = 4 << 20, 16 << 20
+SLICE_BYTES, KNOWN_BYTES = 2 << 20, 8 << 20
 
 # White space as the tokenizer's pattern sees it, and letters that every version of Unicode has as such.
 _WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -114,8 +114,10 @@ class _Ids:
         flat, stops = _gather(ids, ends, row[codes])
         bounds = stops[lists.offsets.to_numpy()].tolist()
         self._keep(words, row, ids, ends)
-        data = flat.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:])]
+        out = [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        del marked, lists, coded, words, codes, at, fresh, ids, ends, flat
+        pa.default_memory_pool().release_unused()  # a worker shares its executor with others
+        return out
 
     def _encode(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of different words laid end to end, and where each ends. A word of letters is one piece of the pattern, and goes to the model as it is."""
@@ -147,7 +149,9 @@ def _gather(ids: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.nda
     """Runs of ``ids`` laid end to end in the order of ``rows``, and where each ends, from 0."""
     sizes = ends[rows + 1] - ends[rows]
     stops = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.arange(stops[-1]) + np.repeat(ends[rows] - stops[:-1], sizes)
+    small = np.int32 if max(len(ids), int(stops[-1])) < 1 << 31 else np.int64
+    at = np.repeat((ends[rows] - stops[:-1]).astype(small), sizes)
+    at += np.arange(stops[-1], dtype=small)
     return ids[at], stops
 
 
