@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -121,51 +122,116 @@ def _concave_slopes(edges: np.ndarray, heights: np.ndarray) -> tuple[np.ndarray,
     return k, np.diff(heights[k]) / np.diff(edges[k])
 
 
-def _learn(pdf: pd.DataFrame, alpha: float) -> pd.DataFrame:
-    """Weights per bin for one fold, from a bounded histogram of the other folds' p-values.
+#: Strengths of the penalty that inner folds choose from; the last gives every tile the same weight.
+PENALTIES = (0.0, 0.125, 0.25, 0.5, 1.0, 2.0, math.inf)
+_EDGES = np.concatenate([[0.0], 10.0 ** np.linspace(-8, 0, _CELLS)])
 
-    Rejection thresholds share one slope of the concave distributions; the slope is searched so
-    that the expected false share stays at alpha. Slopes under one are out of the search: p-values
-    are no denser there than under no effect.
-    """
-    edges = np.concatenate([[0.0], 10.0 ** np.linspace(-8, 0, _CELLS)])
-    bins = sorted(pdf["tile"].unique())
-    curves, sizes = [], []
-    for b in bins:
-        part = pdf[pdf["tile"] == b]
-        h = np.zeros(_CELLS)
-        np.add.at(h, part["cell"].to_numpy(), part["n"].to_numpy(dtype=float))
-        heights = np.concatenate([[0.0], np.cumsum(h) / h.sum()])
-        knots, slopes = _concave_slopes(edges, heights)
-        curves.append((edges[knots], heights[knots], slopes))
-        sizes.append(h.sum())
-    m = np.array(sizes)
-
-    def at(slope: float):
-        t, f = np.zeros(len(bins)), np.zeros(len(bins))
-        for i, (x, y, s) in enumerate(curves):
-            j = int(np.count_nonzero(s >= slope))
-            t[i], f[i] = x[j], y[j]
-        return t, f
 
+def _concave(counts: np.ndarray) -> np.ndarray:
+    """Least concave distribution above the empirical one of each tile, at the edges of the cells: (tiles, edges)."""
+    out = []
+    for h in counts:
+        heights = np.concatenate([[0.0], np.cumsum(h) / max(h.sum(), 1.0)])
+        knots, _ = _concave_slopes(_EDGES, heights)
+        out.append(np.interp(_EDGES, _EDGES[knots], heights[knots]))
+    return np.stack(out)
+
+
+def penalised_thresholds(gain: np.ndarray, edges: np.ndarray, cost: float) -> np.ndarray:
+    """Index of the threshold of each tile that maximises the sum of ``gain`` less ``cost`` x the total variation of the thresholds, tile after tile.
+
+    Exact, by dynamic programming over the edges. An infinite cost gives every tile the same threshold. Ties go to smaller ones.
+    """
+    if math.isinf(cost):
+        return np.full(len(gain), int(gain.sum(0).argmax()))
+    jump = cost * np.abs(edges[:, None] - edges[None, :])
+    best, back = gain[0], []
+    for g in gain[1:]:
+        ways = best[None, :] - jump
+        back.append(ways.argmax(1))
+        best = g + ways.max(1)
+    at = [int(best.argmax())]
+    for b in reversed(back):
+        at.append(int(b[at[-1]]))
+    return np.array(at[::-1])
+
+
+def tile_weights(counts: np.ndarray, alpha: float, penalty: float) -> np.ndarray:
+    """Weights of the tiles, one on average over the tests, from histograms (tiles, cells) of their p-values.
+
+    The thresholds have the most expected rejections, less the penalty on their total variation, among those whose expected false share is
+    alpha at most: at the multiplier of the false tests for which it just is. Multipliers below one are out of the search: p-values are no
+    denser there than under no effect.
+    """
+    f, m = _concave(counts), counts.sum(1)
     low, high = 0.0, 10.0
-    for _ in range(60):
+
+    def at(power: float) -> np.ndarray:
+        slope = 10.0**power
+        return penalised_thresholds(m[:, None] * (f - slope * _EDGES[None, :]), _EDGES, penalty if math.isinf(penalty) else penalty * slope * m.mean())
+
+    rows = np.arange(len(m))
+    for _ in range(40):
         mid = (low + high) / 2
-        t, f = at(10.0**mid)
-        if (m * t).sum() <= alpha * (m * f).sum():
+        t = at(mid)
+        if (m * _EDGES[t]).sum() <= alpha * (m * f[rows, t]).sum():
             high = mid
         else:
             low = mid
-    t, _f = at(10.0**high)
-    weights = t * m.sum() / (m * t).sum() if (m * t).sum() > 0 else np.ones(len(bins))
-    return pd.DataFrame({"fold": int(pdf["fold"].iloc[0]), "tile": bins, "weight": weights})
+    t = _EDGES[at(high)]
+    total = (m * t).sum()
+    return t * m.sum() / total if total > 0 else np.ones(len(m))
+
+
+def histogram_rejections(counts: np.ndarray, weights: np.ndarray, alpha: float) -> int:
+    """Rejections of the weighted step-up among tests known by their cells; a test has the p-value of its cell's upper edge."""
+    m = counts.sum(1)
+    scale = (weights * m).sum() / max(m.sum(), 1.0)
+    w = weights / scale if scale > 0 else np.ones(len(weights))
+    with np.errstate(divide="ignore"):
+        p = np.where(w[:, None] > 0, _EDGES[None, 1:] / np.maximum(w[:, None], 1e-300), np.inf).ravel()
+    order = np.argsort(p, kind="stable")
+    rank = np.cumsum(counts.ravel()[order])
+    ok = p[order] * m.sum() <= alpha * rank
+    return int(rank[ok].max()) if ok.any() else 0
+
+
+def choose_penalty(by_fold: dict[int, np.ndarray], alpha: float) -> float:
+    """The strongest penalty that is not worse than the best one by more than chance.
+
+    A penalty's score is what weights learned on all folds but one reject on that one, summed over the folds; the square root of the
+    best score is taken as its standard error, so that differences without a signal keep the weights equal. A single fold scores itself.
+    """
+    scores = []
+    for penalty in PENALTIES:
+        n = 0
+        for f, held in by_fold.items():
+            rest = [h for g, h in by_fold.items() if g != f] or [held]
+            n += histogram_rejections(held, tile_weights(np.sum(rest, axis=0), alpha, penalty), alpha)
+        scores.append(n)
+    good = max(scores) - math.sqrt(max(scores))
+    return max(penalty for n, penalty in zip(scores, PENALTIES) if n >= good)
+
+
+def _learn(pdf: pd.DataFrame, alpha: float) -> pd.DataFrame:
+    """Weights per tile for one fold, from bounded histograms of the other folds, which also choose the penalty."""
+    tiles, by_fold = sorted(pdf["tile"].unique()), {}
+    place = {t: i for i, t in enumerate(tiles)}
+    for f, part in pdf.groupby("inner"):
+        h = np.zeros((len(tiles), _CELLS))
+        np.add.at(h, (part["tile"].map(place).to_numpy(), part["cell"].to_numpy()), part["n"].to_numpy(dtype=float))
+        by_fold[int(f)] = h
+    penalty = choose_penalty(by_fold, alpha)
+    weights = tile_weights(np.sum(list(by_fold.values()), axis=0), alpha, penalty)
+    return pd.DataFrame({"fold": int(pdf["fold"].iloc[0]), "tile": tiles, "weight": weights})
 
 
 def learned_weights(df: DataFrame, tiles: int, folds: int = 5, alpha: float = 0.1) -> DataFrame:
     """df(feature, p, base_mean) gets tile, fold and a weight learned on the other folds.
 
-    What reaches the weight solver is a histogram of at most folds x tiles x 200 cells, whatever
-    the number of tests. One tile means weight 1 throughout.
+    Neighbouring tiles are held together by a penalty on the total variation of their thresholds, whose strength the other folds choose
+    among themselves. What reaches the weight solver is a histogram of at most folds x tiles x 200 cells, whatever the number of
+    tests. One tile means weight 1 throughout.
     """
     tiled = ntile(df, ["base_mean", "feature"], tiles).withColumn("fold", F.pmod(F.xxhash64("feature"), F.lit(folds)).cast("int"))
     if tiles == 1:
@@ -176,9 +242,8 @@ def learned_weights(df: DataFrame, tiles: int, folds: int = 5, alpha: float = 0.
         tiled.filter(F.col("p").isNotNull())
         .groupBy("fold", "tile", cell.alias("cell"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))).alias("fold"), "tile", "cell", "n")
-        .groupBy("fold", "tile", "cell")
-        .agg(F.sum("n").alias("n"))
+        .select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))).alias("outer"), F.col("fold").alias("inner"), "tile", "cell", "n")
+        .withColumnRenamed("outer", "fold")
     )
     weights = hist.groupBy("fold").applyInPandas(lambda pdf: _learn(pdf, alpha), "fold int, tile int, weight double")
     out = tiled.join(weights, ["fold", "tile"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
