@@ -93,19 +93,17 @@ def welch_stats_sparse(
 
     stats = df.groupBy(*keys).agg(
         *[
-            F.coalesce(by(F.sum, level), F.lit(0.0)).alias(f"s{i}")
+            F.coalesce(by(agg, level), F.lit(0.0)).alias(f"{name}{i}")
             for i, level in ((1, first), (2, second))
-        ],
-        *[
-            F.coalesce(F.sum(F.when(F.col(group) == level, F.col(value) * F.col(value))), F.lit(0.0)).alias(f"q{i}")
-            for i, level in ((1, first), (2, second))
-        ],
+            for name, agg in (("c", F.count), ("m", F.avg), ("v", F.var_pop))
+        ]
     )
     for i, level in ((1, first), (2, second)):
-        n = size(level)
-        stats = stats.withColumn(f"n{i}", n).withColumn(f"mean{i}", F.col(f"s{i}") / F.col(f"n{i}"))
-        spread = F.greatest(F.col(f"q{i}") - F.col(f"n{i}") * F.col(f"mean{i}") * F.col(f"mean{i}"), F.lit(0.0))
-        stats = stats.withColumn(f"var{i}", F.try_divide(spread, F.col(f"n{i}") - 1))
+        c, m, v, n = F.col(f"c{i}"), F.col(f"m{i}"), F.col(f"v{i}"), F.col(f"n{i}")
+        stats = stats.withColumn(f"n{i}", size(level)).withColumn(f"mean{i}", m * c / n)
+        # Centred sums of the cells there are, and of those with the zeros: no squares of large values are subtracted.
+        spread = c * v + c * (n - c) / n * m * m
+        stats = stats.withColumn(f"var{i}", F.try_divide(spread, n - 1))
     return _welch_columns(stats, keys)
 
 

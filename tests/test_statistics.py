@@ -135,6 +135,18 @@ def test_welch_sparse_equals_dense(spark):
         assert d[c] == pytest.approx(s[c])
 
 
+def test_welch_sparse_keeps_digits_of_large_values(spark):
+    """Values near 10^9 that differ by a little, without an absent cell and with one."""
+    a, b = [1e9 + x for x in (0.0, 1.0, 2.0, 4.0)], [1e9 + x for x in (1.0, 2.0, 5.0, 6.0, 7.0)]
+    rows = [("k", "a", v) for v in a] + [("k", "b", v) for v in b]
+    df = spark.createDataFrame(rows, "k string, g string, v double")
+    got = I.welch_stats_sparse(df, ["k"], "v", "g", "a", "b", spark.createDataFrame([("a", 4), ("b", 5)], "g string, n long")).first()
+    e = np.var(np.array(a) - 1e9, ddof=1) / 4 + np.var(np.array(b) - 1e9, ddof=1) / 5
+    assert got.t == pytest.approx((np.mean(np.array(b) - 1e9) - np.mean(np.array(a) - 1e9)) / math.sqrt(e), rel=1e-6)
+    more = I.welch_stats_sparse(df, ["k"], "v", "g", "a", "b", spark.createDataFrame([("a", 5), ("b", 5)], "g string, n long")).first()
+    assert more.mean1 == pytest.approx(np.mean([*a, 0.0])) and more.n1 == 5
+
+
 def test_linear_fit_and_describe(spark):
     pts = [(1.0, 2.1), (2.0, 3.9), (3.0, 6.2), (4.0, 7.8)]
     df = spark.createDataFrame(pts, "x double, y double")
