@@ -93,11 +93,20 @@ def source_diff(spark, sf):
     return A.source_diff(_source(spark, sf, 1, 30, "x"), _source(spark, sf, 20, 45, "x"))
 
 
-@query("term_diff", """WITH a AS (SELECT DISTINCT p_name AS term FROM part WHERE p_size <= 2), b AS (SELECT DISTINCT p_name AS term FROM part WHERE p_size > 47)
-SELECT term, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT term, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+_TERM = "p_name || ' ' || p_brand || ' ' || p_type"
+_PARENT = "CASE WHEN p_size > 30 THEN p_name || ' ' || p_brand ELSE " + _TERM + " END"
+
+
+@query("term_diff", f"""WITH a AS (SELECT {_TERM} AS term FROM part), b AS (SELECT {_PARENT} AS term FROM part)
+SELECT term, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) WHERE term IS NOT NULL
+UNION ALL SELECT term, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) WHERE term IS NOT NULL""")
 def term_diff(spark, sf):
-    part = table(spark, sf, "part").withColumnRenamed("p_name", "term")
-    return A.term_diff(part.filter("p_size <= 2"), part.filter("p_size > 47"))
+    """Both sources annotate every part; the second knows large parts by the parent term alone."""
+    part = table(spark, sf, "part")
+    parent = F.concat("p_name", F.lit(" "), "p_brand")
+    term = F.concat(parent, F.lit(" "), "p_type")
+    a, b = part.select(term.alias("term")), part.select(F.when(F.col("p_size") > 30, parent).otherwise(term).alias("term"))
+    return A.term_diff(a, b)
 
 
 def annotation_table(spark, sf):
