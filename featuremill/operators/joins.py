@@ -6,6 +6,7 @@ No join here asks for a broadcast: Spark broadcasts a side when its measured siz
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,23 +15,58 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join in which a missing key matches a missing key. Key columns appear once in the result."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", dealt: bool = False) -> DataFrame:
+    """Join in which a missing key matches a missing key. Key columns appear once in the result.
+
+    A full join is made of a left join and the rows of the right side that it misses (:func:`full_join`). ``dealt`` is for sides that both
+    repeat their keys (:func:`dealt_join`).
+    """
     if how in ("left_semi", "left_anti"):
         r = right.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
         cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
         return left.join(r, cond, how)
+    if how == "full":
+        return full_join(left, right, keys, dealt)
+    if dealt and how in ("inner", "left"):
+        return dealt_join(left, right, keys, how)
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys}).withColumn("__in_right", F.lit(True))
-    l = left.withColumn("__in_left", F.lit(True)) if how in ("full", "right") else left
+    l = left.withColumn("__in_left", F.lit(True)) if how == "right" else left
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     joined = l.join(renamed, cond, how)
-    if how in ("full", "right"):
+    if how == "right":
         joined = joined.withColumns(
             {k: F.when(F.col("__in_left"), F.col(k)).otherwise(F.col(f"__{k}")) for k in keys}
         )
     return joined.drop("__in_right", "__in_left", *[f"__{k}" for k in keys])
 
 
+#: Rows that a key may give before it is cut into shares of about so many, fewest left rows of a share, and rows that a task gives.
+SHARE, LEAST, TASK_ROWS = 1 << 20, 64, 1 << 23
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = SHARE) -> DataFrame:
+    """Inner or left join on null-safe keys that many rows of both sides have in common.
+
+    The planner sees how many bytes go into a join, not how many rows come out. Here the rows of both sides are counted by key first. A key that gives more than
+    ``share`` rows has its left rows cut into shares, each of which meets all right rows of the key, and there are as many tasks as the result needs.
+    """
+    n = F.count(F.lit(1))
+    sizes = cut_lineage(null_safe_join(left.groupBy(*keys).agg(n.alias("__l")), right.groupBy(*keys).agg(n.alias("__r")), keys))
+    rows = sizes.withColumn("__n", F.col("__l").cast("double") * F.col("__r"))
+    hot = rows.filter(F.col("__n") > share).select(*keys, F.ceil(F.least(F.col("__n") / share, F.col("__l") / LEAST)).cast("int").alias("__shares"))
+    total = rows.agg(F.sum("__n").alias("n"), F.count_if(F.col("__n") > share).alias("hot")).first()
+    if not total.hot:
+        return null_safe_join(left, right, keys, how)
+    one = F.coalesce("__shares", F.lit(1))
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total.n / TASK_ROWS))
+    cell = lambda s: F.struct(*keys, s.alias("__share"))  # noqa: E731  missing fields of a struct equal one another
+    l = null_safe_join(left, hot, keys, "left").withColumn("__cell", cell(F.pmod(F.xxhash64(*left.columns), one).cast("int"))).drop("__shares")
+    r = null_safe_join(right, hot, keys, "left").withColumn("__s", F.explode(F.sequence(F.lit(0), one - 1)))
+    r = r.withColumn("__cell", cell(F.col("__s"))).drop(*keys, "__shares", "__s")
+    # Sorted and merged: the planner takes the dealt rows for as few as they were, and would broadcast them.
+    return l.repartition(tasks, "__cell").join(r.repartition(tasks, "__cell").hint("merge"), "__cell", how).drop("__cell")
+
+
 def open_left_join(left: DataFrame, right: DataFrame, key: str, spread: int = 256) -> DataFrame:
     """Left join in which a missing key matches nothing. Rows without a key are spread over ``spread`` key values that the
     right side lacks, so that they do not meet in one task."""
@@ -39,13 +75,13 @@ def open_left_join(left: DataFrame, right: DataFrame, key: str, spread: int = 25
     return left.withColumn("__salt", salt).join(right.withColumn("__salt", zero), [key, "__salt"], "left").drop("__salt")
 
 
-def full_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def full_join(left: DataFrame, right: DataFrame, keys: list[str], dealt: bool = False) -> DataFrame:
     """Full join on null-safe keys as a left join and the rows of the right side that it misses.
 
     Spark can split the partitions of hot keys in both, which it cannot in a full join.
     """
     alone = null_safe_join(right, left.select(*keys), keys, "left_anti")
-    return null_safe_join(left, right, keys, "left").unionByName(alone, allowMissingColumns=True)
+    return null_safe_join(left, right, keys, "left", dealt).unionByName(alone, allowMissingColumns=True)
 
 
 #: Members of a key up to which one task makes all its pairs.

@@ -38,7 +38,7 @@ def nullsafe_inner(spark, sf):
 @query("nullsafe_full", f"WITH {SIDES} SELECT id, coalesce(l.k, rt.k) AS k, sid FROM l FULL JOIN rt ON l.k IS NOT DISTINCT FROM rt.k")
 def nullsafe_full(spark, sf):
     left, right = _sides(spark, sf)
-    return J.null_safe_join(left, right, ["k"], "full").select("id", "k", "sid")
+    return J.null_safe_join(left, right, ["k"], "full", dealt=True).select("id", "k", "sid")
 
 
 @query("nullsafe_semi_anti", f"""WITH {SIDES} SELECT 'in' AS side, id FROM l WHERE EXISTS (SELECT 1 FROM rt WHERE rt.k IS NOT DISTINCT FROM l.k)
