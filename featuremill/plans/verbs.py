@@ -32,7 +32,7 @@ def _sides(spark, sf):
 @query("nullsafe_inner", f"WITH {SIDES} SELECT l.id, l.k, sid FROM l JOIN rt ON l.k IS NOT DISTINCT FROM rt.k")
 def nullsafe_inner(spark, sf):
     left, right = _sides(spark, sf)
-    return J.null_safe_join(left, right, ["k"]).select("id", "k", "sid")
+    return J.null_safe_join(left, right, ["k"], dealt=True).select("id", "k", "sid")
 
 
 @query("nullsafe_full", f"WITH {SIDES} SELECT id, coalesce(l.k, rt.k) AS k, sid FROM l FULL JOIN rt ON l.k IS NOT DISTINCT FROM rt.k")
