@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import sys
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_phrases
@@ -10,6 +16,8 @@ from ..session import cut_lineage, release
 from .aggregate import share_of_total, text_list, with_group_stats
 from .joins import first_per_key, full_join, null_safe_join
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def map_to_vertices(items: DataFrame, aliases: DataFrame) -> DataFrame:
     """items(alias) to one vertex each, the smallest id; unmapped items are dropped."""
@@ -48,31 +56,107 @@ def stochastic_matrix(edges: DataFrame, weighted: bool = False) -> DataFrame:
     return with_group_stats(cells, ["j"], __s=F.sum("v")).select("i", "j", (F.col("v") / F.col("__s")).alias("v"))
 
 
-#: Entries of a row or column of the matrix beyond which its products are dealt by blocks, and products of one share of a column.
-HUB, SHARE = 512, 1 << 20
+#: Entries of a row or column of the matrix beyond which its products are dealt by blocks, products of one share of a column, of the columns that a task
+#: has at a time, and of those that it adds up at a time.
+HUB, SHARE, LOAD, STEP = 512, 1 << 20, 1 << 23, 1 << 20
 
 
-def _products(matrix: DataFrame, hub: int, share: int) -> DataFrame:
-    """(j, s, i, p): the products that add up to the square, with the share s of column j that i falls into.
+def _dealt(matrix: DataFrame, hub: int, share: int, load: int = LOAD) -> DataFrame:
+    """(block, s, xi, xv, yj, yv, shares): the factors of the square. Each (i, v) of a record meets each (j, v, shares), where i falls into share s of column j.
 
-    Cell (i, j) adds x(i, m) y(m, j) over m. Where column m and row m are long, both sides are cut into blocks of about ``hub`` entries and
-    every block meets every other, so a hub's products are dealt over many keys. A column that gets more than ``share`` products is cut into shares by i.
+    Cell (i, j) adds x(i, m) y(m, j) over m. Neighbouring columns j that get about ``load`` products are a block, and a record has the part of row m that
+    is in one block, beside column m. Where column m or row m is long, it is cut into parts of about ``hub`` entries and every part meets every other, so a hub's
+    products are dealt over many keys. A column that gets more than ``share`` products is cut into shares by i.
     """
+    from .ordered import running_sum
+
     sides = matrix.select(F.col("j").alias("m"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(matrix.select(F.col("i").alias("m"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     sizes = cut_lineage(sides.groupBy("m").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-    blocks = lambda c: F.ceil(F.col(c) / hub).cast("int")
-    hubs = cut_lineage(sizes.filter((F.col("a") > hub) | (F.col("b") > hub)).select("m", blocks("a").alias("na"), blocks("b").alias("nb")))
-    load = matrix.select(F.col("i").alias("m"), "j").join(sizes, "m").groupBy("j").agg(F.sum("a").alias("n"))
-    wide = cut_lineage(load.filter(F.col("n") > share).select("j", F.ceil(F.col("n") / share).cast("int").alias("shares")))
+    parts = lambda c: F.ceil(F.col(c) / hub).cast("int")
+    hubs = cut_lineage(sizes.filter((F.col("a") > hub) | (F.col("b") > hub)).select("m", parts("a").alias("na"), parts("b").alias("nb")))
+    given = matrix.select(F.col("i").alias("m"), "j").join(sizes, "m").groupBy("j").agg(F.sum("a").alias("n"))
+    given = cut_lineage(given.select("j", F.least("n", F.lit(share)).alias("n"), F.greatest(F.lit(1), F.ceil(F.col("n") / share)).cast("int").alias("shares")))
+    blocks = running_sum(given, [], ["j"], {"upto": "n"}).select("j", "shares", F.floor((F.col("upto") - F.col("n")) / load).alias("block"))
 
     one = F.lit(1)
     own = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(n, one)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, one) - 1))
-    left = matrix.select("i", F.col("j").alias("m"), F.col("v").alias("x")).join(hubs, "m", "left")
-    left = left.select("i", "m", "x", own("i", F.col("na")).alias("ka"), every(F.col("nb")).alias("kb"))
-    right = matrix.select(F.col("i").alias("m"), "j", F.col("v").alias("y")).join(hubs, "m", "left").join(wide, "j", "left")
-    right = right.select("m", "j", "y", "shares", own("j", F.col("nb")).alias("kb"), every(F.col("na")).alias("ka"))
-    return left.join(right, ["m", "ka", "kb"]).select("j", own("i", F.col("shares")).alias("s"), "i", (F.col("x") * F.col("y")).alias("p"))
+    cut = not hubs.isEmpty()
+    left = matrix.select("i", F.col("j").alias("m"), "v")
+    left = left.join(hubs, "m", "left").withColumn("ka", own("i", F.col("na"))) if cut else left
+    left = left.groupBy("m", *(["ka", "nb"] if cut else [])).agg(F.collect_list(F.struct("i", "v")).alias("x"))
+    left = left.select("m", *(["ka", every(F.col("nb")).alias("kb")] if cut else []), F.col("x.i").alias("xi"), F.col("x.v").alias("xv"))
+    right = matrix.select(F.col("i").alias("m"), "j", "v").join(blocks, "j")
+    right = right.join(hubs, "m", "left").withColumn("kb", own("j", F.col("nb"))) if cut else right.repartition("m")
+    right = right.withColumn("s", every(F.col("shares"))).groupBy("m", "block", "s", *(["kb", "na"] if cut else [])).agg(F.collect_list(F.struct("j", "v", "shares")).alias("y"))
+    right = right.select("m", "block", "s", *(["kb", every(F.col("na")).alias("ka")] if cut else []), F.col("y.j").alias("yj"), F.col("y.v").alias("yv"), F.col("y.shares").alias("shares"))
+    return left.join(right.hint("merge"), ["m", "ka", "kb"] if cut else ["m"]).select("block", "s", "xi", "xv", "yj", "yv", "shares")
+
+
+def _products(matrix: DataFrame, hub: int, share: int) -> DataFrame:
+    """(j, s, i, p): the products that add up to the square, one by one, with the share s of column j that i falls into."""
+    sides = _dealt(matrix, hub, share).select("s", F.explode(F.arrays_zip("yj", "yv", "shares")).alias("y"), F.arrays_zip("xi", "xv").alias("x")).select("s", "y", F.explode("x").alias("x"))
+    mine = sides.filter(F.pmod(F.xxhash64("x.xi"), F.col("y.shares")) == F.col("s"))
+    return mine.select(F.col("y.yj").alias("j"), "s", F.col("x.xi").alias("i"), (F.col("x.xv") * F.col("y.yv")).alias("p"))
+
+
+def _lists(table: pa.Table, *names: str) -> tuple[np.ndarray, list[pa.Array]]:
+    """Lengths of the lists, and the entries of each column, one after the other."""
+    lists = [table.column(c).combine_chunks() for c in names]
+    lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
+    return np.diff(lists[0].offsets.to_numpy()), [x.flatten() for x in lists]
+
+
+def _expand(inflation: float, prune: float, step: int = STEP):
+    """Inflated cells of one block's columns, without those that are small against their share of the column."""
+
+    def run(key: tuple, records: pa.Table) -> pa.Table:
+        s = key[1].as_py()
+        xn, (xi, xv) = _lists(records, "xi", "xv")
+        yn, (yj, yv, shares) = _lists(records, "yj", "yv", "shares")
+        rows, cols = xi.dictionary_encode(), yj.dictionary_encode()
+        xi, xv = rows.indices.to_numpy(), xv.to_numpy()
+        order = np.argsort(yj := cols.indices.to_numpy().astype(np.int64), kind="stable")
+        yj, yv, shares, at = yj[order], yv.to_numpy()[order], shares.to_numpy()[order], np.repeat(np.arange(len(yn)), yn)[order]
+        begin, n, side = (np.cumsum(xn) - xn)[at], xn[at].astype(np.int64), max(1, len(rows.dictionary))
+        place = pd.util.hash_array(np.asarray(rows.dictionary.to_pandas()), categorize=False) if (shares > 1).any() else None
+        # Runs of whole columns with about ``step`` products, and of so few columns that a table of their cells is no larger than eight steps.
+        first = np.flatnonzero(np.r_[True, yj[1:] != yj[:-1]]) if len(yj) else np.zeros(0, np.int64)
+        upto = np.r_[0, np.cumsum(n)]
+        out, c, wide = [], 0, max(1, 8 * step // side)
+        while c < len(first):
+            e = int(np.searchsorted(upto[first], upto[first[c]] + step, "right")) - 1
+            e = min(max(e, c + 1), len(first))
+            dense = (e - c) * side <= 16 * (upto[first[e] if e < len(first) else len(yj)] - upto[first[c]]) + side
+            if dense:
+                e = min(e, c + wide)
+            lo, hi = first[c], first[e] if e < len(first) else len(yj)
+            many = n[lo:hi]
+            took = np.repeat(begin[lo:hi] - (upto[lo:hi] - upto[lo]), many) + np.arange(many.sum())
+            cell, p = np.repeat((yj[lo:hi] - yj[lo]) * side, many) + xi[took], np.repeat(yv[lo:hi], many) * xv[took]
+            if place is not None and (shares[lo:hi] > 1).any():
+                mine = place[xi[took]] % np.repeat(shares[lo:hi], many).astype(np.uint64) == s
+                cell, p = cell[mine], p[mine]
+            if dense:
+                sums = np.bincount(cell, p, minlength=0)
+                seen = np.flatnonzero(sums)
+                v = sums[seen] ** inflation
+            else:
+                seen, of = np.unique(cell, return_inverse=True)
+                v = np.bincount(of, p, minlength=len(seen)) ** inflation
+            if len(seen):
+                j = seen // side
+                starts = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
+                many = np.diff(np.r_[starts, len(j)])
+                total, top = np.repeat(np.add.reduceat(v, starts), many), np.repeat(np.maximum.reduceat(v, starts), many)
+                keep = (v >= prune * total) | (v >= (1 - 1e-9) * top)
+                out.append((seen[keep] % side, j[keep] + yj[lo], v[keep], total[keep], top[keep]))
+            c = e
+        i, j, v, total, top = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 3
+        named = [rows.dictionary.take(pa.array(i)), cols.dictionary.take(pa.array(j))]
+        return pa.table([*named, pa.array(np.full(len(i), s, np.int32)), pa.array(v), pa.array(total), pa.array(top)], names=["i", "j", "s", "v", "sum", "top"])
+
+    return run
 
 
 def markov_round(matrix: DataFrame, inflation: float = 2.5, prune: float = 1e-4, hub: int = HUB, share: int = SHARE) -> DataFrame:
@@ -81,15 +165,14 @@ def markov_round(matrix: DataFrame, inflation: float = 2.5, prune: float = 1e-4,
     A column's largest entry always stays (ties within 1e-9 too), so no vertex can vanish. After pruning a column holds at
     most 1 / ``prune`` other entries, which bounds the next expansion to that many products per entry.
 
-    The square is never stored: a task that has a share of a column drops what is small against the sum of that share alone, which only
-    falls further behind the whole column's sum. What is left is stored with the sums of the shares, and then cut by the whole column.
+    Products are made and added up in the task that has a block of columns, and the square is never stored: a task that has a share of a column drops what is small
+    against the sum of that share alone, which only falls further behind the whole column's sum. What is left is stored with the sums of the shares, and then cut by
+    the whole column.
     """
-    products = _products(matrix, hub, share)
-    cells = products.repartition("j", "s").groupBy("j", "s", "i").agg(F.pow(F.sum("p"), F.lit(inflation)).alias("v"))
-    w = Window.partitionBy("j", "s")
+    kind = dict(matrix.dtypes)
+    tasks = _dealt(matrix, hub, share).groupBy("block", "s")
+    local = cut_lineage(tasks.applyInArrow(_expand(inflation, prune), f"i {kind['i']}, j {kind['j']}, s int, v double, sum double, top double"))
     big = lambda total, top: (F.col("v") >= prune * F.col(total)) | (F.col("v") >= (1 - 1e-9) * F.col(top))
-    local = cells.withColumn("sum", F.sum("v").over(w)).withColumn("top", F.max("v").over(w)).filter(big("sum", "top"))
-    local = cut_lineage(local)
     totals = local.groupBy("j", "s").agg(F.max("sum").alias("sum"), F.max("top").alias("top")).groupBy("j").agg(F.sum("sum").alias("__s"), F.max("top").alias("__top"))
     kept = local.select("i", "j", "v").join(totals, "j").filter(big("__s", "__top")).select("i", "j", "v")
     return with_group_stats(kept, ["j"], __s=F.sum("v")).select("i", "j", (F.col("v") / F.col("__s")).alias("v"))

@@ -69,3 +69,16 @@ def test_release_removes_a_stored_table(spark):
     release(spark.range(3))
     with pytest.raises(Exception):
         spark.read.schema("x long").parquet(stored._stored_at).collect()
+
+
+@pytest.mark.parametrize("step,share", [(1 << 20, 1 << 20), (50, 1 << 20), (1, 40)])
+def test_blocks_add_up_in_steps(spark, step, share, monkeypatch):
+    """A square is added up in its blocks, in tables of cells or by sorting, and no product becomes a row of its own."""
+    n = 60
+    edges = spark.createDataFrame(graph(n, 5), "a long, b long")
+    matrix = cut_lineage(G.stochastic_matrix(edges))
+    monkeypatch.setattr(G, "_expand", lambda inflation, prune, make=G._expand: make(inflation, prune, step))
+    monkeypatch.setattr(G, "_products", None)
+    want = dense_round(matrix_of(matrix, n), 2.5, 1e-3)
+    got = G.markov_round(matrix, 2.5, 1e-3, 512, share)
+    assert np.allclose(matrix_of(got, n), want)
