@@ -328,33 +328,83 @@ def knn_graph(distances: DataFrame, k: int) -> DataFrame:
 # Neighbours of many points -------------------------------------------------------------------
 
 #: Points of one block, what a task compares with another block at a time; most pivots, points they are chosen from, and rings of a cell.
-BLOCK, PIVOTS, PIVOT_SAMPLE, RINGS = 1024, 64, 4096, 64
+#: Neighbouring blocks that a task compares with as many others.
+BLOCK, PIVOTS, PIVOT_SAMPLE, RINGS, GROUP = 1024, 64, 4096, 64, 16
 
 
-def _closest(queries: pa.Table, points: pa.Table, k: int, same: bool) -> pa.Table:
-    """k nearest points of each query: (id, neighbour, distance), ties to the smaller neighbour."""
-    order = np.argsort(np.array(points.column("id")), kind="stable")
-    names = np.array(points.column("id"))[order]
-    to = np.array(points.column("v").to_pylist(), float)[order]
-    ids, at = np.array(queries.column("id")), np.array(queries.column("v").to_pylist(), float)
-    out: list[tuple[np.ndarray, ...]] = []
-    step = max(1, (1 << 22) // max(1, to.size))
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    return _matrix(pa.concat_arrays(column.chunks)) if column.num_chunks else np.zeros((0, 0))
+
+
+def _near(ids: np.ndarray, at: np.ndarray, names: np.ndarray, to: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, ...]:
+    """k nearest of the points ``to``, whose names go up, for each query: (id, neighbour, distance), ties to the smaller name.
+
+    Products of matrices give squares that are right but for their rounding; whatever may be among the k nearest by them is then measured as it stands.
+    """
+    out: list[tuple[np.ndarray, ...]] = [(ids[:0], names[:0], np.zeros(0))]
+    if not len(names) or not len(ids):
+        return out[0]
+    squares = (to**2).sum(1)
+    step, part = max(1, (1 << 20) // len(names)), max(1, (1 << 20) // max(1, to.shape[1]))
     for s in range(0, len(ids), step):
-        d = np.sqrt(((at[s : s + step, None, :] - to[None, :, :]) ** 2).sum(axis=2))
+        x = at[s : s + step]
+        own = (x**2).sum(1)
+        d = own[:, None] + squares[None, :] - 2.0 * (x @ to.T)
+        slack = 1e-14 * (8 + to.shape[1]) * (own + squares.max())
         if same:
             d[ids[s : s + step, None] == names[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        far = np.take_along_axis(d, best, 1)
-        keep = np.isfinite(far)
-        out.append((np.repeat(ids[s : s + step], keep.sum(1)), names[best][keep], far[keep]))
-    cols = [np.concatenate(c) for c in zip(*out)] if out else [np.array([], names.dtype), np.array([], names.dtype), np.zeros(0)]
+        most = np.partition(d, k - 1, axis=1)[:, k - 1] if k <= len(names) else np.full(len(x), np.inf)
+        r, c = np.nonzero((d <= (most + 2 * slack)[:, None]) & (d < np.inf))
+        far = np.concatenate([np.zeros(0), *[np.sqrt(((x[r[i : i + part]] - to[c[i : i + part]]) ** 2).sum(axis=1)) for i in range(0, len(r), part)]])
+        order = np.lexsort((c, far, r))
+        r, c, far = r[order], c[order], far[order]
+        first = np.searchsorted(r, r, "left")
+        keep = np.arange(len(r)) - first < k
+        out.append((ids[s : s + step][r[keep]], names[c[keep]], far[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _found(parts: list[tuple[np.ndarray, ...]], queries: pa.Table) -> pa.Table:
+    ids = np.array(queries.column("id"))[:0]
+    cols = [np.concatenate(c) for c in zip((ids, ids, np.zeros(0)), *parts)]
     return pa.table({"id": cols[0], "neighbour": cols[1], "distance": cols[2]})
 
 
-def choose_pivots(points: DataFrame, n: int) -> np.ndarray:
-    """n points far from one another, out of PIVOT_SAMPLE at most: each next one is the farthest from those chosen. They decide what is skipped, not what is found."""
-    share = F.xxhash64(F.lit(1), "id")
-    some = np.array([r["v"] for r in points.select("id", "v").orderBy(share, "id").limit(PIVOT_SAMPLE).collect()], float)
+def _closest(queries: pa.Table, points: pa.Table, k: int, same: bool) -> pa.Table:
+    """k nearest points of each query: (id, neighbour, distance), ties to the smaller neighbour."""
+    names = np.array(points.column("id"))
+    order = np.argsort(names, kind="stable")
+    to = _vectors(points.column("v"))
+    return _found([_near(np.array(queries.column("id")), _vectors(queries.column("v")), names[order], to[order] if len(order) else to, k, same)], queries)
+
+
+def _tile(queries: pa.Table, points: pa.Table, k: int) -> pa.Table:
+    """k nearest points of each query among those blocks that its own block must be compared with."""
+    if not queries.num_rows or not points.num_rows:
+        return _found([], queries)
+    names = np.array(points.column("id2"))
+    order = np.argsort(names, kind="stable")
+    names, to, block = names[order], _vectors(points.column("v2"))[order], np.array(points.column("block2"))[order]
+    ids, at, own = np.array(queries.column("id")), _vectors(queries.column("v")), np.array(queries.column("block"))
+    parts = []
+    for q, i in zip(*np.unique(own, return_index=True)):
+        met = np.isin(block, queries.column("ts")[int(i)].as_py())
+        mine = own == q
+        parts.append(_near(ids[mine], at[mine], names[met], to[met], k, False))
+    return _found(parts, queries)
+
+
+def choose_pivots(points: DataFrame, n: int, of: int) -> np.ndarray:
+    """n of ``of`` points far from one another, out of PIVOT_SAMPLE at most: each next one is the farthest from those chosen. They decide what is skipped, not what is found.
+
+    The sample has the points with the smallest hashes. A bound on the hash leaves few more than these, or each task would send PIVOT_SAMPLE vectors to the driver.
+    """
+    share, rows = F.xxhash64(F.lit(1), "id"), points.select("id", "v")
+    if of > PIVOT_SAMPLE:
+        rows = rows.filter(share < F.lit(int(-(1 << 63) + (1 << 64) * min(0.99, 1.5 * PIVOT_SAMPLE / of))))
+    some = np.array([r["v"] for r in rows.orderBy(share, "id").limit(PIVOT_SAMPLE).collect()], float)
+    if not len(some):  # only where many ids repeat
+        some = np.array([r["v"] for r in points.select("v").limit(1).collect()], float)
     near, chosen = np.full(len(some), np.inf), [0]
     while len(chosen) < min(n, len(some)):
         near = np.minimum(near, np.sqrt(((some - some[chosen[-1]]) ** 2).sum(1)))
@@ -393,7 +443,7 @@ def _widest(key: tuple, table: pa.Table) -> pa.Table:
 def _index(points: DataFrame, k: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Points in blocks, the neighbours inside each block, and the pairs of blocks (q, t) that must be compared."""
     n = points.count()
-    pivots = choose_pivots(points, min(PIVOTS, max(1, math.ceil(math.sqrt(n / block))))) if n else np.zeros((1, 1))
+    pivots = choose_pivots(points, min(PIVOTS, max(1, math.ceil(math.sqrt(n / block)))), n) if n else np.zeros((1, 1))
     kind = dict(points.dtypes)["id"]
     placed = points.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(_to_pivots(pivots), f"id {kind}, v array<double>, far array<double>, cell int, x double")
     ranked = row_rank(placed, ["x", "id"], keys=["cell"])
@@ -426,7 +476,8 @@ def _index(points: DataFrame, k: int, block: int) -> tuple[DataFrame, DataFrame,
     base, top = at(F.col("cl"), F.col("cell")), at(F.col("ch"), F.col("cell"))
     rings = F.sequence(ring(at(F.col("low"), F.col("cell")), base, top), ring(at(F.col("high"), F.col("cell")), base, top))
     targets = own_cell.select("cell", F.col("block").alias("t"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(rings).alias("ring"))
-    met = asks.join(targets, ["cell", "ring"]).filter("q <> t").filter(~apart(F.col("low"), F.col("high"), F.col("low2"), F.col("high2"), F.col("d")))
+    # Merged: the planner does not see how many rings there are, and would send them all through the driver.
+    met = asks.join(targets.hint("merge"), ["cell", "ring"]).filter("q <> t").filter(~apart(F.col("low"), F.col("high"), F.col("low2"), F.col("high2"), F.col("d")))
     return rows, own, cut_lineage(met.select("q", "t").distinct())
 
 
@@ -435,16 +486,22 @@ def nearest(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
 
     Points belong to the cell of the pivot nearest to them, and are cut into blocks by their distance to it. A block's own neighbours bound how far
     the true ones can be. Another block is compared only if no pivot sees it farther away than that (triangle inequality): first whole
-    cells are ruled out, then rings of a cell, then single blocks. Each comparison of two blocks gives k rows per point.
+    cells are ruled out, then rings of a cell, then single blocks. Blocks travel in groups: a task has the blocks of one group that must be compared with blocks of
+    another, and gives k rows for each point, so vectors are sent and rows are given once for a group and not for each block.
     """
     if block <= k:
         raise ValueError("a block must hold more points than neighbours are asked for")
     rows, own, pairs = _index(points, k, block)
     kind = dict(points.dtypes)["id"]
-    queries = rows.join(pairs, F.col("block") == F.col("q")).select("q", "t", "id", "v")
-    targets = rows.join(pairs, F.col("block") == F.col("t")).select(*[F.col(c).alias(f"{c}2") for c in ("q", "t", "id", "v")])
-    both = queries.groupBy("q", "t").cogroup(targets.groupBy("q2", "t2"))
-    other = both.applyInArrow(lambda a, b: _closest(a, b.rename_columns(a.column_names), k, False), f"id {kind}, neighbour {kind}, distance double")
+    groups = row_rank(pairs.select(F.col("q").alias("block")).unionByName(pairs.select(F.col("t").alias("block"))).distinct(), ["block"], "n")
+    groups = cut_lineage(groups.select("block", F.floor((F.col("n") - 1) / GROUP).alias("g")))
+    of = lambda c: groups.select(F.col("block").alias(c), F.col("g").alias(f"g{c}"))
+    tiles = cut_lineage(pairs.join(of("q"), "q").join(of("t"), "t").groupBy("gq", "gt", "q").agg(F.collect_list("t").alias("ts")))
+    asked = tiles.select("gq", "gt", F.explode("ts").alias("t")).distinct()
+    queries = rows.join(tiles.hint("merge"), F.col("block") == F.col("q")).select("gq", "gt", "block", "ts", "id", "v")
+    targets = rows.join(asked.hint("merge"), F.col("block") == F.col("t")).select(*[F.col(c).alias(f"{c}2") for c in ("gq", "gt", "block", "id", "v")])
+    both = queries.groupBy("gq", "gt").cogroup(targets.groupBy("gq2", "gt2"))
+    other = both.applyInArrow(lambda a, b: _tile(a, b, k), f"id {kind}, neighbour {kind}, distance double")
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
     return own.unionByName(other).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= k)
 

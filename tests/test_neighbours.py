@@ -58,3 +58,28 @@ def test_components_of_samples(spark):
     for s in v:
         want = sorted(np.linalg.norm(v[s] - v[t]) for t in v if t != s)[:3]
         assert [d for _, d in sorted(got[s])] == pytest.approx(want, abs=1e-6)
+
+
+def test_pivots_are_the_same_from_few_rows(spark, monkeypatch):
+    """The bound on the hash leaves out only rows that the sample would not have."""
+    rng = np.random.default_rng(8)
+    points = spark.createDataFrame([(i, [float(a) for a in rng.normal(size=3)]) for i in range(3000)], "id long, v array<double>")
+    monkeypatch.setattr(O, "PIVOT_SAMPLE", 200)
+    assert np.array_equal(O.choose_pivots(points, 6, 3000), O.choose_pivots(points, 6, 0))
+
+
+@pytest.mark.parametrize("group", [1, 3, 100])
+def test_nearest_by_groups_of_blocks(spark, monkeypatch, group):
+    """Many equal vectors, and blocks compared group by group; a group gives k rows for each point."""
+    monkeypatch.setattr(O, "GROUP", group)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (200, 2)).astype(float)
+    df = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in O.nearest(df, 5, 16).collect():
+        got.setdefault(r.id, []).append((r.nth, r.neighbour, r.distance))
+    for i in range(200):
+        want = np.argsort(d[i], kind="stable")[:5]
+        assert [j for _, j, _ in sorted(got[i])] == want.tolist() and [z for _, _, z in sorted(got[i])] == pytest.approx(d[i][want])
